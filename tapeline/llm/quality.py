@@ -15,82 +15,90 @@ from pyspark.sql import functions as F
 
 from . import common
 
-GOOD, ABSTAIN, BAD = 0, 1, 2
+#: What each labeller says when it doesn't abstain, in the order of votes(): ten that find faults, two that find prose.
+SAYS_BAD = np.array([True] * 10 + [False] * 2)
 HASH_BITS = 14
 #: Documents that the scorer is fitted on at most: those with the smallest hashes of their ids.
 MAX_FIT = 6000
 #: A document is kept if the scorer gives it at least this probability of being good.
-KEEP_FROM = 0.4
-_SYMBOL = re.compile(r"[#$%&*@~^=+<>{}\[\]\\_]")
+KEEP_FROM = 0.2
+_SYMBOLS = frozenset("#$%&*@~^=+<>{}[]\\_|")
+_SYMBOL = re.compile(r"[#$%&*@~^=+<>{}\[\]\\_|]")
+_PLAIN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*[.,;:?!]?")
+_SENTENCE = re.compile(r"[^\s.!?|][.!?](?=\s|$)")
 
 
-def _vote(value: float, good_to: float, bad_from: float) -> int:
-    return GOOD if value <= good_to else BAD if value >= bad_from else ABSTAIN
+def votes(text: str | None) -> tuple[bool, ...]:
+    """Which labellers speak up on a text. None does on one without words.
 
-
-def votes(text: str | None) -> tuple[int, ...]:
-    """What each labeller says of a text. All abstain on one without words.
-
-    In order: symbols per word, share of capitals, words that repeat the one before, exclamation marks per word, bars between words,
-    distinct runs of three words, words of odd length, repeated lines."""
+    In order: many symbols; words that end in symbols; bars between words; lines that end in bars; capitals; exclamation marks; words
+    that repeat the one before; few different runs of three words; repeated lines; no prose; and, for good: plain words; sentences."""
     text = text or ""
     words = text.split()
     n = len(words)
     if not n:
-        return (ABSTAIN,) * 8
-    upper = sum(map(str.isupper, words))
-    again = sum(a == b for a, b in zip(words, words[1:]))
-    runs = len(set(zip(words, words[1:], words[2:]))) / (n - 2) if n >= 30 else None
+        return (False,) * 12
+    again = sum(a == b for a, b in zip(words, words[1:])) / n
     lines = [x for x in text.split("\n") if x.strip()]
-    mean = (len(text) - n + 1) / n
+    plain = sum(1 for w in words if _PLAIN.fullmatch(w) and not (len(w) > 3 and w.isupper()))
+    ends = len(_SENTENCE.findall(text))
+    symbols = len(_SYMBOL.findall(text))
+    by_words = n >= 3 and plain >= 0.9 * n and again < 0.1
+    by_sentences = n >= 5 and 0.02 * n <= ends <= 0.5 * n and "!!" not in text and again < 0.1 and symbols < 0.1 * n
     return (
-        _vote(len(_SYMBOL.findall(text)) / n, 0.1, 0.5),
-        _vote(upper / n, 0.2, 0.6) if n >= 5 else ABSTAIN,
-        _vote(again / n, 0.05, 0.2) if n >= 5 else ABSTAIN,
-        _vote(text.count("!") / n, 0.1, 0.5),
-        _vote(text.count(" | ") / n, 0.02, 0.2),
-        ABSTAIN if runs is None else _vote(1 - runs, 0.2, 0.6),
-        _vote(abs(mean - 7), 5, 15),
-        _vote(1 - len(set(lines)) / len(lines), 0.2, 0.6) if len(lines) >= 4 else ABSTAIN,
+        n >= 3 and symbols >= 0.4 * n,
+        n >= 3 and sum(w[-1] in _SYMBOLS for w in words) >= 0.3 * n,
+        n >= 3 and words.count("|") >= 0.25 * n,
+        sum(x.rstrip().endswith("|") for x in lines) >= 0.5 * len(lines),
+        n >= 4 and sum(map(str.isupper, words)) >= 0.5 * n,
+        n >= 3 and text.count("!") >= 0.4 * n,
+        n >= 5 and again >= 0.2,
+        n >= 30 and len(set(zip(words, words[1:], words[2:]))) <= 0.5 * (n - 2),
+        len(lines) >= 4 and len(set(lines)) <= 0.5 * len(lines),
+        n >= 5 and not by_words and not by_sentences,
+        by_words,
+        by_sentences,
     )
 
 
-def code(v: tuple[int, ...]) -> int:
-    return sum(x * 3**i for i, x in enumerate(v))
+def code(v: tuple[bool, ...]) -> int:
+    return sum(x << i for i, x in enumerate(v))
 
 
-def decode(pattern: int, n: int = 8) -> list[int]:
-    return [pattern // 3**i % 3 for i in range(n)]
+def decode(codes) -> np.ndarray:
+    return (np.asarray(codes, dtype=np.int64)[:, None] >> np.arange(len(SAYS_BAD))) & 1 == 1
 
 
 @dataclass
 class LabelModel:
-    """P(bad) beforehand, and P(vote | class) of each labeller: table[class, labeller, vote], class 0 good, 1 bad."""
+    """P(bad) beforehand, and how often each labeller is right when it speaks."""
 
     bad: float
-    table: np.ndarray
+    accuracy: np.ndarray
 
-    def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        """P(good) for rows of votes."""
-        log = np.log(np.array([1 - self.bad, self.bad]))[:, None] + sum(np.log(self.table[:, j, patterns[:, j]]) for j in range(patterns.shape[1]))
-        return 1.0 / (1.0 + np.exp(np.clip(log[1] - log[0], -40, 40)))
+    def posterior(self, spoke: np.ndarray) -> np.ndarray:
+        """P(good) for rows of votes; silence says nothing."""
+        weight = np.log(self.accuracy / (1 - self.accuracy)) * np.where(SAYS_BAD, 1, -1)
+        return 1.0 - common.sigmoid(np.log(self.bad / (1 - self.bad)) + spoke @ weight)
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
-    """Accuracies of the labellers from how often each pattern of votes occurs. Starts from: bad if any labeller says so.
+def expectation_maximisation(spoke: np.ndarray, counts: np.ndarray, rounds: int = 300) -> LabelModel:
+    """Accuracies of the labellers from how often each pattern of votes occurs.
 
-    Votes are taken as independent within a class; one pseudo-count in each cell keeps rare votes from being certain."""
-    good = np.where((patterns == BAD).any(axis=1), 0.1, 0.95)
-    if not (patterns != ABSTAIN).any():
-        good = np.full(len(patterns), 0.5)
-    model = LabelModel(0.5, np.full((2, patterns.shape[1], 3), 1 / 3))
+    Labellers err independently of each other. Each starts as right in four of five cases, weighs as ten such cases more than it
+    has, and is taken to be better than a coin."""
+    model = LabelModel(0.1, np.full(len(SAYS_BAD), 0.8))
+    if not len(counts):
+        return model
     for _ in range(rounds):
-        weight = np.stack([counts * good, counts * (1 - good)])
-        table = np.stack([[[w[patterns[:, j] == v].sum() + 1.0 for v in range(3)] for j in range(patterns.shape[1])] for w in weight])
-        new = LabelModel(float((weight[1].sum() + 1) / (weight.sum() + 2)), table / table.sum(axis=2, keepdims=True))
-        moved = np.abs(new.table - model.table).max()
-        model, good = new, new.posterior(patterns)
-        if moved < 1e-7:
+        good = model.posterior(spoke)
+        right = np.where(SAYS_BAD, 1 - good[:, None], good[:, None])
+        said = counts[:, None] * spoke
+        accuracy = np.clip(((said * right).sum(axis=0) + 8) / (said.sum(axis=0) + 10), 0.55, 0.999)
+        bad = float(np.clip((counts @ (1 - good) + 1) / (counts.sum() + 10), 0.01, 0.5))
+        moved = max(np.abs(accuracy - model.accuracy).max(), abs(bad - model.bad))
+        model = LabelModel(bad, accuracy)
+        if moved < 1e-8:
             break
     return model
 
@@ -166,7 +174,7 @@ class QualityModel:
 def train(docs: DataFrame, max_fit: int = MAX_FIT) -> QualityModel:
     """Vote patterns are counted over all documents; their posterior labels train the scorer on at most max_fit.
 
-    Null and empty texts are patterns of abstentions. Without documents all labellers are taken to be guessing."""
+    On null and empty texts no labeller speaks. Without documents the labellers keep their starting accuracies."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[int] = Counter()
@@ -174,10 +182,9 @@ def train(docs: DataFrame, max_fit: int = MAX_FIT) -> QualityModel:
             seen.update(code(votes(t)) for t in batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
-    table = docs.select("text").mapInArrow(count, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 3**8 rows
+    table = docs.select("text").mapInArrow(count, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 2**12 rows
     table.sort()
-    patterns = np.array([decode(r["pattern"]) for r in table], dtype=np.int64).reshape(-1, 8)
-    labels = expectation_maximisation(patterns, np.array([r["n"] for r in table], dtype=np.float64))
+    labels = expectation_maximisation(decode([r["pattern"] for r in table]), np.array([r["n"] for r in table], dtype=np.float64))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
@@ -191,7 +198,7 @@ def train(docs: DataFrame, max_fit: int = MAX_FIT) -> QualityModel:
     ids = docs.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
     chosen = F.broadcast(docs.sparkSession.createDataFrame(ids.distinct().collect(), ids.schema))  # at most max_fit ids
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text").mapInArrow(sample, "pattern int, ids array<int>, vals array<float>").limit(2 * max_fit).collect()
-    good = labels.posterior(np.array([decode(r["pattern"]) for r in rows], dtype=np.int64).reshape(-1, 8))
+    good = labels.posterior(decode([r["pattern"] for r in rows]))
     scorer = fit_scorer([(np.array(r["ids"], dtype=np.int64), np.array(r["vals"])) for r in rows], good)
     return QualityModel(labels, scorer)
 
