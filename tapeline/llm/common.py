@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,3 +106,53 @@ def word_hashes(text: str | None, cache: WordHashes) -> np.ndarray:
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))
+
+
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_BYTE = np.arange(256, dtype=np.uint64) + np.uint64(1)
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_BYTE[_SPACE] = 0
+#: Bytes of text hashed in one go.
+SLICE_BYTES = 1 << 20
+
+
+def hash_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes of the words of some texts one after the other, where each text's begin and the last's end), text after text.
+
+    Straight from Arrow's bytes: a word's hash is the sum of its bytes times numbers that depend on their place in it, mixed with
+    its length. Words are as in word_hashes, their hashes other ones. A null is an empty text."""
+    column = column.fill_null("") if column.null_count else column
+    column = column.cast(pa.large_string())
+    n = len(column)
+    at = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + n + 1]
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if column.buffers()[2] is not None else np.empty(0, dtype=np.uint8)
+    first = 0
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE_BYTES, side="right")) - 1)
+        raw = data[at[first] : at[last]]
+        begin = at[first : last + 1] - at[first]
+        word = ~_SPACE[raw]
+        starts = word.copy()
+        starts[1:] &= ~word[:-1]
+        fresh = begin[:-1][begin[:-1] < len(raw)]  # a text begins a word even where the one before ends without a space
+        starts[fresh] = word[fresh]
+        where = np.flatnonzero(starts)
+        if not len(where):
+            yield np.empty(0, dtype=np.uint64), np.zeros(last - first + 1, dtype=np.int64)
+            first = last
+            continue
+        place = np.arange(len(raw), dtype=np.int64)
+        place -= np.repeat(where, np.diff(np.append(where, len(raw))))[: len(raw)] if where[0] == 0 else np.concatenate([np.zeros(where[0], dtype=np.int64), np.repeat(where, np.diff(np.append(where, len(raw))))])
+        product = _BYTE[raw] * mix64((np.arange(int(place.max()) + 1, dtype=np.uint64) + np.uint64(1)) * _MIX[0])[place]
+        length = np.add.reduceat(word.astype(np.int64), where).astype(np.uint64)
+        yield mix64(np.add.reduceat(product, where) + length * _MIX[1]), np.searchsorted(where, begin)
+        first = last
+
+
+def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The set of hashed shingles of each text, ascending. A text with fewer words than a shingle is one; one without words has none."""
+    for words, begin in hash_words(column):
+        runs = rolling(words, width) if len(words) >= width else None
+        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+            yield np.unique(runs[a : b - width + 1] if b - a >= width else rolling(words[a:b], width))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontam, htmltext, jaccard, langid, mixing, quality, sharding, toxicity
+from . import chat, common, decontam, htmltext, jaccard, langid, mixing, quality, sharding, toxicity, wand
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_turns(turns.unionByName(extra)))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wand.search(docs, docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text"), k=10)
+
+
 def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
@@ -65,6 +70,6 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_language_id, op3_hilbert_sharding, op4_weak_label_quality, op5_ngram_jaccard_join, op6_chat_formatting, op8_template_decontamination, op9_html_extraction, op10_source_mixing)
+    for f in (op1_toxicity, op2_language_id, op3_hilbert_sharding, op4_weak_label_quality, op5_ngram_jaccard_join, op6_chat_formatting, op7_exact_topk, op8_template_decontamination, op9_html_extraction, op10_source_mixing)
 }
 ORACLES: dict[str, str] = {}

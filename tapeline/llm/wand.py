@@ -23,11 +23,11 @@ TOGETHER, DENSE_FROM = 256, 0.02
 _PART_BITS = 14
 
 
-def terms_of(text: str | None, cache: common.WordHashes) -> tuple[np.ndarray, np.ndarray, int]:
-    """(hashes of the distinct words in ascending order, how often each occurs, number of words)."""
-    h = common.word_hashes(text, cache)
-    uniq, counts = np.unique(h, return_counts=True)
-    return uniq, counts, len(h)
+def terms_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(hashes of the distinct words in ascending order, how often each occurs, number of words) of each text."""
+    for words, begin in common.hash_words(column):
+        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+            yield *np.unique(words[a:b], return_counts=True), b - a
 
 
 @dataclass
@@ -54,10 +54,9 @@ def statistics(docs: DataFrame, queries: Queries) -> tuple[np.ndarray, int, int]
     size, part = len(queries.vocabulary), 1 << _PART_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, df, n, words = common.WordHashes(), np.zeros(size, dtype=np.int64), 0, 0
+        df, n, words = np.zeros(size, dtype=np.int64), 0, 0
         for batch in batches:
-            for t in batch.column("text"):
-                uniq, _, length = terms_of(t.as_py(), cache)
+            for uniq, _, length in terms_of(batch.column("text")):
                 df[match(uniq, shared.value)[1]] += 1
                 n, words = n + 1, words + length
         parts = [k for k in range(-(-size // part)) if df[k * part : (k + 1) * part].any()]
@@ -179,9 +178,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     n_blocks = max(1, -(-n_queries // BLOCK_QUERIES))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = common.WordHashes()
         for batch in batches:
-            terms = [terms_of(t.as_py(), cache)[0].view(np.int64) for t in batch.column("text")]
+            terms = [t.view(np.int64) for t, _, _ in terms_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(terms, pa.list_(pa.int64()))], names=["query_id", "terms"])
 
     parsed = common.materialise(asked.mapInArrow(parse, "query_id long, terms array<long>").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))), "queries")
@@ -204,7 +202,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
 def _search_block(docs: DataFrame, shared, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, cache = shared.value, common.WordHashes()
+        block = shared.value
         ids: list[int] = []
         found: list[tuple[np.ndarray, np.ndarray, int]] = []
 
@@ -219,8 +217,7 @@ def _search_block(docs: DataFrame, shared, k: int) -> DataFrame:
             found.clear()
 
         for batch in batches:
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                uniq, counts, n = terms_of(t.as_py(), cache)
+            for i, (uniq, counts, n) in zip(batch.column("doc_id").to_pylist(), terms_of(batch.column("text"))):
                 hit, number = match(uniq, block.vocabulary)
                 ids.append(i)
                 found.append((number, counts[hit], n))

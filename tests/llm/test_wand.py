@@ -51,10 +51,9 @@ def test_top_k_matches_brute_force(spark, monkeypatch, shard, together):
 
 def test_shards_prune_but_lose_nothing():
     docs = corpus(8, 2000)
-    from tapeline.llm import common
+    import pyarrow as pa
 
-    cache = common.WordHashes()
-    parsed = [wand.terms_of(t, cache) for _, t in docs]
+    parsed = list(wand.terms_of(pa.array([t for _, t in docs])))
     vocabulary = np.unique(np.concatenate([u for u, _, _ in parsed[:20]]))
     block = wand.Queries(np.arange(20), vocabulary, [np.searchsorted(vocabulary, u) for u, _, _ in parsed[:20]])
     hits = [wand.match(u, vocabulary) for u, _, _ in parsed]
