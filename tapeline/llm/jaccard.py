@@ -23,10 +23,10 @@ from . import common
 from .components import components
 
 #: Counters of the frequency sketch, as a power of two; one byte each is broadcast. Only costs depend on it, never results.
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 _BLOCK_BITS = 14
 #: Largest bucket whose pairs are listed, and rounds of leaders for the larger ones.
-SMALL, ROUNDS = 4, 3
+SMALL, ROUNDS = 8, 3
 #: Jaccard distance from a leader within which differences are indexed.
 NEAR = 0.25
 MAX_MATCHES = 6
@@ -36,49 +36,56 @@ CHUNK = 256
 BROADCAST_ROWS = 1_000_000
 
 
-def shingles(text: str | None, width: int, cache: common.WordHashes) -> np.ndarray:
-    return np.unique(common.rolling(common.word_hashes(text, cache), width))
-
-
 def sketch(docs: DataFrame, width: int) -> np.ndarray:
     """How often each of 2**SKETCH_BITS hash buckets is hit by the shingle sets of all documents."""
     size, block = 1 << SKETCH_BITS, 1 << _BLOCK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, total = common.WordHashes(), np.zeros(size, dtype=np.int64)
+        total = np.zeros(size, dtype=np.uint32)
         for batch in batches:
-            texts, held = batch.column("text"), []
-            for t in texts:
-                held.append((shingles(t.as_py(), width, cache) & np.uint64(size - 1)).astype(np.int32))
-                if len(held) == 1000:
-                    total += np.bincount(np.concatenate(held), minlength=size)
-                    held = []
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=size)
+            for sh in common.shingle_sets(batch.column("text"), width):
+                np.add.at(total, (sh & np.uint64(size - 1)).astype(np.int64), np.uint32(1))
         blocks = [k for k in range(size // block) if total[k * block : (k + 1) * block].any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(blocks, pa.int32()), pa.array([zlib.compress(total[k * block : (k + 1) * block].astype(np.uint32).tobytes(), 1) for k in blocks], pa.binary())], names=["block", "counts"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([_pack(total[k * block : (k + 1) * block]) for k in blocks], pa.binary())], names=["block", "counts"])
 
     def add(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, key = np.zeros(block, dtype=np.uint64), None
         for batch in group:
             key = batch.column("block")[0].as_py()
             for c in batch.column("counts"):
-                total += np.frombuffer(zlib.decompress(c.as_py()), dtype=np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
+                total += _unpack(c.as_py(), block)
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([_pack(total)], pa.binary())], names=["block", "counts"])
 
     parts = docs.select("text").mapInArrow(count, "block int, counts binary")
-    out = np.zeros(size, dtype=np.int64)
+    out = np.zeros(size, dtype=np.uint32)
     for r in parts.groupBy("block").applyInArrow(add, "block int, counts binary").collect():
-        out[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["counts"], dtype=np.uint64)
+        out[r["block"] * block : (r["block"] + 1) * block] = np.minimum(_unpack(r["counts"], block), 2**32 - 1)
+    return out
+
+
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts as bytes, those from 255 on with their excess behind."""
+    high = np.flatnonzero(counts >= 255).astype(np.uint32)
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + high.tobytes() + (counts[high] - 255).astype(np.uint32).tobytes(), 1)
+
+
+def _unpack(data: bytes, size: int) -> np.ndarray:
+    raw = zlib.decompress(data)
+    out = np.frombuffer(raw[:size], dtype=np.uint8).astype(np.uint64)
+    rest = np.frombuffer(raw[size:], dtype=np.uint32)
+    out[rest[: len(rest) // 2]] += rest[len(rest) // 2 :]
     return out
 
 
 def frequency_classes(counts: np.ndarray) -> np.ndarray:
     """Four steps for each doubling of what a bucket has above the usual load."""
-    above = np.maximum(0, counts - np.median(counts))
-    return np.minimum(255, np.round(4 * np.log2(1 + above))).astype(np.uint8)
+    usual = int(np.partition(counts, len(counts) // 2)[len(counts) // 2])
+    out = np.zeros(len(counts), dtype=np.uint8)
+    busy = np.flatnonzero(counts > usual)
+    for at in range(0, len(busy), 1 << 18):
+        some = busy[at : at + (1 << 18)]
+        out[some] = np.round(4 * np.log2(1.0 + counts[some] - usual))
+    return out
 
 
 def ordered(sh: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -103,11 +110,9 @@ def describe(docs: DataFrame, classes: np.ndarray, width: int, num: int, den: in
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = common.WordHashes()
         for batch in batches:
             n, keys, matches, rarity, prefix = [], [], [], [], []
-            for t in batch.column("text"):
-                sh = shingles(t.as_py(), width, cache)
+            for sh in common.shingle_sets(batch.column("text"), width):
                 n.append(len(sh))
                 if not len(sh):
                     keys.append(b""), matches.append(0), rarity.append(0.0), prefix.append([])
@@ -131,7 +136,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def compare(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, differences: bool) -> DataFrame:
-    """(hub, id, linked, distance, lacks, adds) for each row of pairs (hub, id), from the whole texts of both.
+    """(hub, id, linked, distance, hub_n, lacks, adds) for each row of pairs (hub, id), from the whole texts of both.
 
     lacks and adds are hashes of the hub's shingles that id lacks and of its own beyond them, within NEAR + 1 - t. A hub's
     text travels once for each CHUNK of its pairs, so a hub that most pairs have is split."""
@@ -146,48 +151,67 @@ def compare(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, d
     limit = NEAR + 1 - num / den
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, at, ours = common.WordHashes(), None, np.empty(0, dtype=np.uint64)
+        at, ours = None, np.empty(0, dtype=np.uint64)
         for batch in batches:
             out = []
-            hub, chunk, kind, ids, text = (batch.column(c) for c in ("hub", "chunk", "kind", "id", "text"))
-            for h, c, k, i, t in zip(hub.to_pylist(), chunk.to_pylist(), kind.to_pylist(), ids.to_pylist(), text):
+            keys = zip(*(batch.column(c).to_pylist() for c in ("hub", "chunk", "kind", "id")))
+            for (h, c, k, i), theirs in zip(keys, common.shingle_sets(batch.column("text"), width)):
                 if k == 0:
                     if at != (h, c):
-                        at, ours = (h, c), shingles(t.as_py(), width, cache)
+                        at, ours = (h, c), theirs
                     continue
-                theirs = shingles(t.as_py(), width, cache)
-                common_ones = np.intersect1d(ours, theirs, assume_unique=True)
-                both = len(ours) + len(theirs) - len(common_ones)
-                distance = 1 - len(common_ones) / both
-                near = differences and distance <= limit
-                out.append((h, i, den * len(common_ones) >= num * both, distance, np.setdiff1d(ours, common_ones, True).view(np.int64) if near else [], np.setdiff1d(theirs, common_ones, True).view(np.int64) if near else []))
+                where = np.searchsorted(ours, theirs)
+                shared = ours[np.minimum(where, len(ours) - 1)] == theirs
+                inter = int(np.count_nonzero(shared))
+                both = len(ours) + len(theirs) - inter
+                distance = 1 - inter / both
+                lacks, adds = [], []
+                if differences and distance <= limit:
+                    gone = np.ones(len(ours), dtype=bool)
+                    gone[where[shared]] = False
+                    lacks, adds = ours[gone].view(np.int64), theirs[~shared].view(np.int64)
+                out.append((h, i, den * inter >= num * both, distance, len(ours), lacks, adds))
             if out:
-                types = (pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=["hub", "id", "linked", "distance", "lacks", "adds"])
+                types = (pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=["hub", "id", "linked", "distance", "hub_n", "lacks", "adds"])
 
     dealt = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "kind", "id")
-    return common.materialise(dealt.mapInArrow(run, "hub long, id long, linked boolean, distance double, lacks array<long>, adds array<long>"), "compared")
+    return common.materialise(dealt.mapInArrow(run, "hub long, id long, linked boolean, distance double, hub_n long, lacks array<long>, adds array<long>"), "compared")
 
 
 def _direct(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of documents of one bucket whose sizes allow a link and that share enough prefix shingles."""
+    """(hub, id, shared): documents of one bucket whose sizes allow a link and that share enough prefix shingles."""
     a = postings.select("token", F.col("id").alias("hub"), F.col("n").alias("na"), F.col("matches").alias("ma"))
     b = postings.select("token", "id", F.col("n").alias("nb"), F.col("matches").alias("mb"))
     fit = (F.col("hub") < F.col("id")) & (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
     met = a.join(b, "token").filter(fit).groupBy("hub", "id").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("ma", "mb")).alias("needed"))
-    return met.filter("shared >= needed").select("hub", "id")
+    return met.filter("shared >= needed").select("hub", "id", "shared")
+
 
+def _by_difference(compared: DataFrame, stars: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs under one leader c that can be linked though one of them isn't linked to it.
 
-def _by_difference(compared: DataFrame) -> DataFrame:
-    """Pairs under one leader of which one isn't linked to it, and of which the other shares enough of its difference to matter."""
-    parts = compared.filter(F.size("lacks") + F.size("adds") > 0)
-    tagged = lambda c, tag: F.transform(c, lambda h: F.struct(F.lit(tag).alias("tag"), h.alias("token")))
-    # Any |D| - m + 1 of D meet a set that shares m of it; what a document adds is mostly its own, so that comes first.
-    length = F.greatest(F.size("lacks"), F.size("adds"))
-    some = parts.filter(F.col("distance") <= NEAR).select("hub", F.col("id").alias("x"), F.explode(F.slice(F.concat(tagged("adds", 1), tagged("lacks", 0)), F.lit(1), length)).alias("d"))
-    all_ = parts.filter("not linked").select("hub", F.col("id").alias("y"), F.explode(F.concat(tagged("adds", 1), tagged("lacks", 0))).alias("d"))
-    met = some.join(all_, ["hub", "d"]).filter("x <> y")
-    return met.select(F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("id")).distinct()
+    With w = den * lacks + num * adds and k = (den - num) * |c|, a document is linked to c if w <= k, and x and y are linked if
+    (den + num) * |D(x) & D(y)| >= w(x) + w(y) - k. What either side knows of that bounds the part of its difference that must
+    meet the other's: its first ones, additions before lacks, since those are mostly its own. Where two meet, what is left of both
+    differences must reach the bound. Documents that stars already connect are left out."""
+    both = num + den
+    tag = lambda c, t: F.transform(c, lambda h: F.struct(F.lit(t).alias("tag"), h.alias("token")))
+    d = compared.filter(F.size("lacks") + F.size("adds") > 0).join(_small(stars, BROADCAST_ROWS if stars.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else BROADCAST_ROWS + 1), "id", "left")
+    d = d.select("hub", "id", F.coalesce("component_id", "id").alias("top"), "linked", ((den - num) * F.col("hub_n")).alias("k"), (den * F.size("lacks") + num * F.size("adds")).cast("long").alias("w"), F.concat(tag("adds", 0), tag("lacks", 1)).alias("d"))
+
+    def side(rows: DataFrame, need: str, name: str) -> DataFrame:
+        part = F.slice("d", F.lit(1), F.greatest(F.size("d") - F.expr(f"cast({need} as int)") + 1, F.lit(0)))
+        named = rows.select("hub", "k", F.col("id").alias(name), F.col("top").alias("top_" + name), F.col("w").alias("w_" + name), F.size("d").alias("n_" + name), F.posexplode(part).alias("at_" + name, "e"))
+        return named.select("*", "e.tag", "e.token").drop("e")
+
+    apart = (F.col("top_x") != F.col("top_y")) & (F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) * both >= F.col("w_x") + F.col("w_y") - F.col("k"))
+    keys = ["hub", "k", "tag", "token"]
+    near, open_ = d.filter("linked"), d.filter("not linked")
+    one = side(near, f"floor(w / {both}) + 1", "x").join(side(open_, f"greatest(1, ceil((w - k) / {both}))", "y"), keys).filter(apart)
+    order = F.struct("w_x", "x") < F.struct(F.col("w_y").alias("w_x"), F.col("y").alias("x"))
+    none = side(open_, f"greatest(1, ceil((2 * w - k) / {both}))", "x").join(side(open_, f"floor(w / {both}) + 1", "y"), keys).filter(apart & order)
+    return one.union(none).select(F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("id")).distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -207,16 +231,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     buckets = postings.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("rarity", "id", "n")).alias("lead")).filter("docs > 1")
     met = postings.join(buckets, "token").select("token", "id", "n", "matches", "rarity", "docs", F.col("lead.id").alias("hub"), F.col("lead.n").alias("hub_n"))
     met = common.materialise(met, "buckets")
-    direct = [met.filter(f"docs <= {SMALL}").select("token", "id", "n", "matches")]
-    rest, tables = met.filter(f"docs > {SMALL}"), []
+    plain = ["token", "id", "n", "matches"]
+    small = common.materialise(_direct(met.filter(f"docs <= {SMALL}").select(*plain), num, den), "direct")
+    best = small.groupBy("id").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub")).select("hub", "id")
+    rest, tables, far = met.filter(f"docs > {SMALL}"), [], []
     limit = NEAR + 1 - num / den
     for k in range(ROUNDS):
-        if rest.isEmpty():
-            break
         # Sizes alone put a document beyond the reach of all that is near the leader.
         reach = F.least("n", "hub_n") >= (1 - limit) * F.greatest("n", "hub_n")
         ask = rest.filter(reach & (F.col("hub") != F.col("id"))).select("hub", "id").distinct()
-        done = compare(ask, docs, width, num, den, True)
+        done = compare(ask if k else ask.union(best).distinct(), docs, width, num, den, True)
         tables.append(done)
         seen = done.select("hub", "id", "linked", "distance")
         left = rest.filter("hub <> id").join(_small(seen, seen.count()), ["hub", "id"], "left").filter("not coalesce(linked, false)")
@@ -226,18 +250,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
         left = common.materialise(left.withColumnRenamed("far", "was_far"), "left")
         again = left.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("rarity", "id", "n")).alias("lead")).filter("docs > 1")
         rest = common.materialise(left.join(again, "token").withColumns({"hub": F.col("lead.id"), "hub_n": F.col("lead.n")}).drop("lead"), "buckets")
-        direct.append(rest.filter(f"was_far and docs <= {SMALL}").select("token", "id", "n", "matches"))
+        far.append(rest.filter(f"was_far and docs <= {SMALL}").select(*plain))
         rest = rest.filter(f"docs > {SMALL}")
-    if tables:
-        direct.append(rest.filter("was_far").select("token", "id", "n", "matches"))
+        if rest.isEmpty():
+            break
+    far.append(rest.filter("was_far").select(*plain))
 
     links = [t.filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")) for t in tables]
-    ask = _direct(direct[0] if len(direct) == 1 else _union(direct), num, den)
-    if tables:
-        stars = common.materialise(components(_union(links)), "stars")
-        ask = ask.union(_union([_by_difference(t) for t in tables])).distinct()
-        mine, other = stars.select(F.col("id").alias("hub"), F.col("component_id").alias("ca")), stars.select("id", F.col("component_id").alias("cb"))
-        ask = ask.join(mine, "hub", "left").join(other, "id", "left").filter("coalesce(ca, hub) <> coalesce(cb, id)").select("hub", "id")
+    stars = common.materialise(components(_union(links)), "stars")
+    # A pair's shared shingles may lie in small buckets and in ones that became so: its count is over both.
+    counted = _direct(_union([met.filter(f"docs <= {SMALL}").select(*plain), *far]), num, den).select("hub", "id")
+    ask = counted.union(_union([_by_difference(t, stars, num, den) for t in tables])).distinct()
+    mine, other = stars.select(F.col("id").alias("hub"), F.col("component_id").alias("ca")), stars.select("id", F.col("component_id").alias("cb"))
+    ask = ask.join(mine, "hub", "left").join(other, "id", "left").filter("coalesce(ca, hub) <> coalesce(cb, id)").select("hub", "id")
     links.append(compare(ask, docs, width, num, den, False).filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")))
     found = common.materialise(components(_union(links)), "components")
     reached = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
@@ -250,3 +275,16 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     for t in tables[1:]:
         out = out.union(t)
     return out
+
+
+def one_per_component(docs: DataFrame, **options) -> DataFrame:
+    """Of each component of jaccard_components the document with the smallest id; all columns. Rows without an id stay, of rows with one id the first by text."""
+    found = common.materialise(jaccard_components(docs, **options).select("doc_id", "component_id"), "kept")
+    stay = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = stay.filter("n > 1").limit(1).count() > 0
+    ids = stay.select(F.col("doc_id").alias("_id"))
+    kept = docs.join(_small(ids, found.count()), docs["doc_id"].cast("long") == F.col("_id"), "left_semi")
+    if repeated:
+        rest = [c for c in docs.columns if c != "doc_id"]
+        kept = kept.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.coalesce("text", F.lit(""))).alias("_r")).select("doc_id", "_r.*").select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id is null"))

@@ -106,7 +106,17 @@ def test_odd_rows(spark):
     assert got == sorted([(5, 29_996, 5), (7, 29_997, 5), (None, 1, None), (9, 0, 9), (9, 0, 9), (3, 1, 3)], key=str)
 
 
-def test_words_are_cut_and_lowered_as_stated():
-    cache = common.WordHashes()
-    assert (common.word_hashes("A b\x0bÉ\x1cx", cache) == common.word_hashes("a B\nÉ\x1cx", cache)).all()
-    assert len(common.word_hashes("É é", cache)) == 2 and len(set(common.word_hashes("É é", cache))) == 2
+def test_hashed_words_are_those_of_a_plain_split(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(common, "SLICE_BYTES", 16)
+    texts = ["A b\x0bÉ\x1cx", "a B\nÉ\x1cx ", None, "", "  ", "É é", "tail", "head", "x" * 100, "a" * 99 + " " + "a" * 98]
+    seen = {}
+    got = [(w[a:b].tolist()) for w, begin in common.hash_words(pa.array(["skip", *texts]).slice(1)) for a, b in zip(begin[:-1], begin[1:])]
+    assert len(got) == len(texts)
+    for t, hashes in zip(texts, got):
+        words = (t or "").encode().lower().split()
+        assert len(words) == len(hashes)
+        for w, h in zip(words, hashes):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
