@@ -24,8 +24,11 @@ def run_id(config_hash: str, started_ns: int) -> str:
 
 def _digest(joined: pd.Series) -> pd.Series:
     """Spark has no BLAKE2b. NULL stays NULL; equal parts of one batch are digested once."""
-    known = {x: hashlib.blake2b(x.encode(), digest_size=32).hexdigest()[:DIGITS] for x in joined.dropna().unique()}
-    return joined.map(known)
+    known: dict[str, str] = {}
+    for x in joined:
+        if isinstance(x, str) and x not in known:
+            known[x] = hashlib.blake2b(x.encode(), digest_size=32).hexdigest()[:DIGITS]
+    return pd.Series([known.get(x) if isinstance(x, str) else None for x in joined], dtype=object)
 
 
 def column(prefix: str, *parts: Column) -> Column:

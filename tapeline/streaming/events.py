@@ -31,7 +31,8 @@ def bars(ticks: DataFrame, interval: str, lateness: str) -> DataFrame:
     """Bars of closed windows, stamped at the window's end. A window closes when the watermark has passed it."""
     seconds = schema.INTERVALS[interval] // schema.SECOND
     key = F.struct("ts_event", "seq")
-    out = timed(ticks, lateness).groupBy(F.window("event_time", f"{seconds} seconds"), "ticker", "venue").agg(
+    rows = ticks if "event_time" in ticks.columns else timed(ticks, lateness)
+    out = rows.groupBy(F.window("event_time", f"{seconds} seconds"), "ticker", "venue").agg(
         F.min_by("price", key).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", key).alias("close"), F.sum("size").cast("decimal(28,8)").alias("volume"), F.count(F.lit(1)).alias("trade_count")
     )
     return out.select("ticker", "venue", (F.unix_micros("window.end") * 1000).alias("ts_event"), "open", "high", "low", "close", "volume", "trade_count")

@@ -1,3 +1,4 @@
+from decimal import Context
 from decimal import Decimal as D
 
 import pytest
@@ -45,7 +46,7 @@ def test_intents(spark, side, stop, entry, risk, target):
 
 
 def test_exact_products_and_prices(spark):
-    assert one(spark, f"a {P}, b decimal(28,8)", (D("1234567.12345678"), D("1234567.00000001")), c.product("a", "b")) == [D("1234567.12345678") * D("1234567.00000001")]
+    assert one(spark, f"a {P}, b decimal(28,8)", (D("1234567.12345678"), D("1234567.00000001")), c.product("a", "b")) == [Context(prec=60).multiply(D("1234567.12345678"), D("1234567.00000001"))]
     assert one(spark, "a string", ("1.12345678",), c.exact_price("a"), c.try_price("a")) == [D("1.12345678")] * 2
     assert one(spark, "a string", ("1.123456789",), c.try_price("a")) == [None] and one(spark, "a string", ("x",), c.try_price("a")) == [None]
     with pytest.raises(Exception, match="eight decimals"):
