@@ -17,12 +17,17 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "li", "dd", "dt"}
+KEEPS_P = frozenset("table td th button object".split())
 SIBLING = {"li": ("li", {"ul", "ol", "menu", "dir"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 DROP = frozenset("head script style noscript template nav aside footer form button select input textarea iframe svg canvas object dialog menu".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 DROP_NAMES = frozenset(
-    "ad ads advert adverts advertisement adsense advertorial sponsor sponsored promo promotion banner sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended footer masthead toolbar widget disqus comment comments reply replies respond pagination pager skip".split()
+    "ad ads advert adverts advertisement adsense advertorial sponsor sponsored promo promotion banner sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice newsletter subscribe subscription signup login popup modal overlay alert topbar share sharing social related recommended footer masthead toolbar widget disqus comment comments reply replies respond pagination pager skip".split()
 )
+DROP_STEMS = ("comment", "cookie", "advert", "sidebar", "breadcrumb", "newsletter", "sponsor", "promo", "navigat", "subscri", "disqus", "footer", "recommend")
+#: Of an <article> only these say that it isn't the page's own; and a header with one of the latter is the article's.
+NOT_ITS_OWN = ("comment", "repl", "related", "recommend", "teaser", "sidebar", "promo")
+OWN_HEADER = frozenset("article post entry story content section title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
@@ -33,10 +38,11 @@ _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 class Node:
     """An element. parts: texts, child elements, and None where an inline element such as br parts words."""
 
-    __slots__ = ("tag", "attrs", "parent", "parts", "chars", "tags", "link_chars", "links", "density", "total")
+    __slots__ = ("tag", "attrs", "parent", "parts", "paragraph", "chars", "tags", "link_chars", "links", "density", "total")
 
     def __init__(self, tag: str, attrs: str = "", parent: Node | None = None):
         self.tag, self.attrs, self.parent, self.parts = tag, attrs, parent, []
+        self.paragraph = self if tag == "p" else None if parent is None or tag in KEEPS_P else parent.paragraph  # the open p around
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.total = 0.0
 
@@ -60,8 +66,8 @@ def parse(page: str) -> Node:
             if node is not None and node.parent is not None:
                 here = node.parent
             continue
-        if tag in CLOSES_P:
-            here = _close(here, {"p"}, {"table", "td", "th", "button", "object"})
+        if tag in CLOSES_P and here.paragraph is not None:
+            here = here.paragraph.parent
         if tag in SIBLING:
             names, inside = SIBLING[tag]
             here = _close(here, set(names.split()), inside)
@@ -90,33 +96,54 @@ def _close(here: Node, names: set[str], stop: set[str]) -> Node:
     return here
 
 
-def _dropped(node: Node) -> bool:
+def _in_article(node: Node) -> bool:
+    up = node.parent
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    return up is not None
+
+
+def _dropped(node: Node, holds: bool) -> bool:
+    """Whether an element isn't the article's. holds: the page's article, main part or title stands in it, so names don't count."""
     if node.tag in DROP:
         return True
     if node.tag == "header":
-        up = node.parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        return up is None
-    if not node.attrs or node.tag in ("body", "article", "main"):
+        return not _in_article(node)
+    if not node.attrs or node.tag in ("body", "main"):
         return False
     for name, value in _ATTR.findall(node.attrs):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and any(w.lower() in DROP_NAMES for w in _NAME.findall(value)):
-            return True
-        if name == "role" and value.lower() in DROP_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+        if name in ("class", "id") and not holds:
+            words = [w.lower() for w in _NAME.findall(value)]
+            if node.tag == "article":
+                if any(w.startswith(NOT_ITS_OWN) for w in words):
+                    return True
+            elif any(w in DROP_NAMES or w.startswith(DROP_STEMS) for w in words) or "header" in words and not OWN_HEADER & set(words) and not _in_article(node):
+                return True
+        if name == "role" and value.lower() in DROP_ROLES and not holds or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
 
 
-def _prune(node: Node) -> None:
-    todo = [node]
+def _prune(root: Node) -> None:
+    """Take out what is dropped, innermost first, so that a comment's <article> doesn't save the list of comments."""
+    order, todo = [], [root]
     while todo:
         n = todo.pop()
-        n.parts = [p for p in n.parts if not isinstance(p, Node) or not _dropped(p)]
+        order.append(n)
         todo.extend(p for p in n.parts if isinstance(p, Node))
+    holds: set[int] = set()
+    gone: set[int] = set()
+    for n in reversed(order):
+        for p in n.parts:
+            if isinstance(p, Node) and id(p) not in gone and (p.tag in ("article", "main", "h1") or id(p) in holds):
+                holds.add(id(n))
+        if _dropped(n, id(n) in holds and n.tag != "article"):
+            gone.add(id(n))
+    for n in order:
+        n.parts = [p for p in n.parts if not isinstance(p, Node) or id(p) not in gone]
 
 
 def _measure(root: Node) -> list[Node]:
@@ -215,22 +242,18 @@ def extract(page: str | None) -> str:
     on_path = set(map(id, path))
     taken: list = []
 
-    def walk(node: Node) -> None:
-        for p in node.parts:
-            if isinstance(p, str):
-                if len(p.strip()) >= threshold or node is best:
-                    taken.extend((p, None))
-            elif p is best:
-                taken.append(p)
-            elif id(p) in on_path:
-                walk(p)
-            elif p.density >= threshold and p.tag in BLOCK and p.link_chars * 2 <= p.chars or p.tag in HEADINGS and node is best.parent:
-                taken.append(p)
-
-    if best is root:
-        taken.append(best)
-    else:
-        walk(root)
+    todo: list = [best if best is root else root]
+    while todo:
+        p = todo.pop()
+        if p is best:
+            taken.append(p)
+        elif isinstance(p, tuple):  # loose text beside the path
+            if len(p[0].strip()) >= threshold:
+                taken.extend((p[0], None))
+        elif id(p) in on_path:
+            todo.extend((q,) if isinstance(q, str) else q for q in reversed(p.parts))
+        elif p.density >= threshold and p.tag in BLOCK and p.link_chars * 2 <= p.chars or p.tag in HEADINGS and p.parent is best.parent:
+            taken.append(p)
     return "\n".join(_blocks(taken))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,4 +74,28 @@ QUERIES = {
     f.__name__: f
     for f in (op1_toxicity, op2_language_id, op3_hilbert_sharding, op4_weak_label_quality, op5_ngram_jaccard_join, op6_chat_formatting, op7_exact_topk, op8_template_decontamination, op9_html_extraction, op10_source_mixing)
 }
-ORACLES: dict[str, str] = {}
+#: What follows the first character of the control strings that begin with < and with [, as regular expressions.
+_AFTER_ANGLE = "|".join(re.escape(c[1:]) for c in chat.CONTROL if c[0] == "<")
+_AFTER_SQUARE = "|".join(re.escape(c[1:]) for c in chat.CONTROL if c[0] == "[")
+
+
+def _escaped(column: str) -> str:
+    """Length of a text after escaping: one more character for each control string, with or without backslashes in it."""
+    count = lambda first, rest: f"len(regexp_extract_all({column}, '{first}\\\\*(?:{rest})'))"
+    return f"(length({column}) + {count('<', _AFTER_ANGLE)} + {count(chr(92) + '[', _AFTER_SQUARE)})"
+
+
+ORACLES: dict[str, str] = {
+    "op5_ngram_jaccard_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) END AS s FROM w),
+ n AS (SELECT doc_id, len(s) AS n FROM s), e AS (SELECT doc_id, hash(unnest(s)) AS h FROM s),
+ i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+ r AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, r.b FROM reach JOIN r ON r.a = reach.other)
+ SELECT CAST(n.doc_id AS BIGINT) AS doc_id, CAST(n.n AS BIGINT) AS n_shingles, CAST(m.component_id AS BIGINT) AS component_id FROM n JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) m USING (doc_id)""",
+    "op6_chat_formatting": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+ CAST(sum({len(chat.OPEN + chat.SEP + chat.CLOSE)} + {_escaped('role')} + {_escaped('text')}) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id""",
+}

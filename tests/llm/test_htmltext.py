@@ -22,6 +22,13 @@ def test_divisions_without_an_article():
     assert h.extract(page) == f"Title\n{LONG}\nShort.\n{LONG}"
 
 
+def test_names_of_wrappers_and_of_comments():
+    comments = "".join(f'<article class="comment-{i}"><p>{LONG} Comment {i}.</p></article>' for i in range(30))
+    page = f"""<body><div class="site-header"><p>{LONG}</p></div><div class="content with-sidebar"><main><header class="post-header"><h1>T</h1></header><p>{LONG}</p></main></div>
+    <section><ol class="commentlist">{comments}</ol></section><div class="cookieNotice"><p>{LONG}</p></div></body>"""
+    assert h.extract(page) == f"T\n{LONG}"
+
+
 def test_sections_beside_the_best_one():
     page = f"<body><div class='page'><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div><p>{LONG}</p></div></div></body>"
     assert h.extract(page).count(LONG) == 4
