@@ -88,9 +88,13 @@ def frequency_classes(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _class(sh: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return classes[(sh & np.uint64(len(classes) - 1)).astype(np.int64)].astype(np.int64)
+
+
 def ordered(sh: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """The set as numbers whose order is the global one: frequency class, then hash."""
-    c = classes[(sh & np.uint64(len(classes) - 1)).astype(np.int64)].astype(np.uint64)
+    c = _class(sh, classes).astype(np.uint64)
     return np.sort((c << np.uint64(56)) | (sh >> np.uint64(8)))
 
 
@@ -105,9 +109,8 @@ def choose_prefix(tokens: np.ndarray, num: int, den: int) -> tuple[int, int]:
     return best, n - need + best
 
 
-def describe(docs: DataFrame, classes: np.ndarray, width: int, num: int, den: int) -> DataFrame:
+def describe(docs: DataFrame, shared, width: int, num: int, den: int) -> DataFrame:
     """(doc_id, n, key, matches, rarity, prefix): key is a digest of the set; rarity orders leaders, lowest first."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,11 +138,11 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def compare(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, differences: bool) -> DataFrame:
+def compare(pairs: DataFrame, docs: DataFrame, classes, width: int, num: int, den: int, differences: bool) -> DataFrame:
     """(hub, id, linked, distance, hub_n, lacks, adds) for each row of pairs (hub, id), from the whole texts of both.
 
-    lacks and adds are hashes of the hub's shingles that id lacks and of its own beyond them, within NEAR + 1 - t. A hub's
-    text travels once for each CHUNK of its pairs, so a hub that most pairs have is split."""
+    lacks and adds are hashes of the hub's shingles that id lacks and of its own beyond them, within NEAR + 1 - t: first the additions rare in
+    the corpus, and what is frequent in it of the lacks, as few documents share either. A hub's text travels once for each CHUNK of its pairs, so a hub that most pairs have is split."""
     pairs = common.materialise(pairs.select("hub", "id"), "pairs")
     n_pairs = pairs.count()
     per_hub = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
@@ -169,7 +172,9 @@ def compare(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, d
                 if differences and distance <= limit:
                     gone = np.ones(len(ours), dtype=bool)
                     gone[where[shared]] = False
-                    lacks, adds = ours[gone].view(np.int64), theirs[~shared].view(np.int64)
+                    lacks, adds = ours[gone], theirs[~shared]
+                    lacks = lacks[np.argsort(-_class(lacks, classes.value), kind="stable")].view(np.int64)
+                    adds = adds[np.argsort(_class(adds, classes.value), kind="stable")].view(np.int64)
                 out.append((h, i, den * inter >= num * both, distance, len(ours), lacks, adds))
             if out:
                 types = (pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -193,7 +198,7 @@ def _by_difference(compared: DataFrame, stars: DataFrame, num: int, den: int) ->
 
     With w = den * lacks + num * adds and k = (den - num) * |c|, a document is linked to c if w <= k, and x and y are linked if
     (den + num) * |D(x) & D(y)| >= w(x) + w(y) - k. What either side knows of that bounds the part of its difference that must
-    meet the other's: its first ones, additions before lacks, since those are mostly its own. Where two meet, what is left of both
+    meet the other's: its first ones, additions before lacks, since those are mostly its own, both in compare()'s order. Where two meet, what is left of both
     differences must reach the bound. Documents that stars already connect are left out."""
     both = num + den
     tag = lambda c, t: F.transform(c, lambda h: F.struct(F.lit(t).alias("tag"), h.alias("token")))
@@ -222,7 +227,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     shingle. Null and empty texts have none and are linked with nothing. Equal sets are one class, compared once. Rows with the same
     doc_id count as one document. A null doc_id has its n_shingles and no component. An empty table gives an empty result."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes = frequency_classes(sketch(docs, width))
+    classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(sketch(docs, width)))  # 2**SKETCH_BITS bytes
     table = common.materialise(describe(docs, classes, width, num, den), "sets")
     known = table.filter("n > 0 and doc_id is not null")
     reps = common.materialise(known.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
@@ -240,7 +245,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
         # Sizes alone put a document beyond the reach of all that is near the leader.
         reach = F.least("n", "hub_n") >= (1 - limit) * F.greatest("n", "hub_n")
         ask = rest.filter(reach & (F.col("hub") != F.col("id"))).select("hub", "id").distinct()
-        done = compare(ask if k else ask.union(best).distinct(), docs, width, num, den, True)
+        done = compare(ask if k else ask.union(best).distinct(), docs, classes, width, num, den, True)
         tables.append(done)
         seen = done.select("hub", "id", "linked", "distance")
         left = rest.filter("hub <> id").join(_small(seen, seen.count()), ["hub", "id"], "left").filter("not coalesce(linked, false)")
@@ -263,7 +268,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     ask = counted.union(_union([_by_difference(t, stars, num, den) for t in tables])).distinct()
     mine, other = stars.select(F.col("id").alias("hub"), F.col("component_id").alias("ca")), stars.select("id", F.col("component_id").alias("cb"))
     ask = ask.join(mine, "hub", "left").join(other, "id", "left").filter("coalesce(ca, hub) <> coalesce(cb, id)").select("hub", "id")
-    links.append(compare(ask, docs, width, num, den, False).filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    links.append(compare(ask, docs, classes, width, num, den, False).filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")))
     found = common.materialise(components(_union(links)), "components")
     reached = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
     out = table.select("doc_id", F.col("n").alias("n_shingles"), "key").join(reached, "key", "left")
