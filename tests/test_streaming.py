@@ -6,13 +6,14 @@ from tapeline.operators import bars, positions
 from tapeline.streaming import events
 
 MIN = 60_000_000_000
+BASE = 28_000_000 * MIN
 
 
 def test_bars_repeats_and_append(spark, tmp_path):
     ddl = "id string, ticker string, venue string, ts_event long, ts_init long, seq int, price decimal(18,8), size decimal(28,8)"
-    rows = [(f"t{i}", "A", "N", i * MIN // 4, 0, i, D(100 + i % 7), D(1)) for i in range(40)]
+    rows = [(f"t{i}", "A", "N", BASE + i * MIN // 4, 0, i, D(100 + i % 7), D(1)) for i in range(40)]
     spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / "in"))
-    spark.createDataFrame([*rows[:5], ("end", "A", "N", 60 * MIN, 0, 999, D(1), D(1))], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([*rows[:5], ("end", "A", "N", BASE + 60 * MIN, 0, 999, D(1), D(1))], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     read = lambda: spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     events.append(events.bars(events.without_repeats(read(), "id", "10 minutes"), "1m", "10 minutes"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     got = {(r.ts_event, int(r.open), int(r.close), int(r.volume)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
