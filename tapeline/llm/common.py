@@ -61,7 +61,7 @@ def spread(doc_id: Column, salt: str) -> Column:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash as a signed integer; emptied when it has grown to `limit` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
@@ -114,7 +114,7 @@ _BYTE = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _BYTE[_SPACE] = 0
 #: Bytes of text hashed in one go.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def hash_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -156,3 +156,10 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         runs = rolling(words, width) if len(words) >= width else None
         for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
             yield np.unique(runs[a : b - width + 1] if b - a >= width else rolling(words[a:b], width))
+
+
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller pieces, so that what is made of one doesn't pile up."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -113,7 +113,7 @@ def describe(docs: DataFrame, shared, width: int, num: int, den: int) -> DataFra
     """(doc_id, n, key, matches, rarity, prefix): key is a digest of the set; rarity orders leaders, lowest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.portions(batches):
             n, keys, matches, rarity, prefix = [], [], [], [], []
             for sh in common.shingle_sets(batch.column("text"), width):
                 n.append(len(sh))
@@ -125,7 +125,7 @@ def describe(docs: DataFrame, shared, width: int, num: int, den: int) -> DataFra
                 keys.append(hashlib.md5(sh.tobytes()).digest())
                 matches.append(k)
                 rarity.append(-float((tokens >> np.uint64(56)).mean()))
-                prefix.append(tokens[:length].view(np.int64))
+                prefix.append(tokens[:length].copy().view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(matches, pa.int32()), pa.array(rarity, pa.float64()), pa.array(prefix, pa.list_(pa.int64()))],
                 names=["doc_id", "n", "key", "matches", "rarity", "prefix"],
@@ -155,7 +155,7 @@ def compare(pairs: DataFrame, docs: DataFrame, classes, width: int, num: int, de
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ours = None, np.empty(0, dtype=np.uint64)
-        for batch in batches:
+        for batch in common.portions(batches):
             out = []
             keys = zip(*(batch.column(c).to_pylist() for c in ("hub", "chunk", "kind", "id")))
             for (h, c, k, i), theirs in zip(keys, common.shingle_sets(batch.column("text"), width)):

@@ -107,7 +107,7 @@ class Shapes(dict):
     """word -> hashed id of its shape: runs of letters, capitals and digits as one a, A or 0, other characters once each run."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 50_000:
             self.clear()
         shape, last = [], ""
         for ch in word[:64]:
@@ -178,7 +178,7 @@ def train(docs: DataFrame, max_fit: int = MAX_FIT) -> QualityModel:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[int] = Counter()
-        for batch in batches:
+        for batch in common.portions(batches):
             seen.update(code(votes(t)) for t in batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
@@ -214,7 +214,7 @@ def score(docs: DataFrame, model: QualityModel, keep_from: float = KEEP_FROM) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
-        for batch in batches:
+        for batch in common.portions(batches):
             scores = [shared.value(t, shapes) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([s >= keep_from for s in scores])], names=[*batch.schema.names, *added])
 

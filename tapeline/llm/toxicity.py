@@ -18,7 +18,7 @@ from . import common
 IDENTITY_TERMS = {
     "en": ("women", "men", "muslims", "jews", "christians", "hindus", "atheists", "gay", "lesbian", "straight", "trans", "black", "white", "asian", "latino", "immigrants", "refugees", "disabled", "elderly", "young"),
     "de": ("frauen", "männer", "muslime", "juden", "christen", "hindus", "atheisten", "schwule", "lesben", "schwarze", "weiße", "asiaten", "einwanderer", "flüchtlinge", "behinderte", "senioren"),
-    "fr": ("femmes", "hommes", "musulmans", "juifs", "chrétiens", "hindous", "athées", "gays", "lesbiennes", "noirs", "blancs", "asiatiques", "immigrés", "réfugiés", "handicapés", "personnes âgées"),
+    "fr": ("femmes", "hommes", "musulmans", "juifs", "chrétiens", "hindous", "athées", "gays", "lesbiennes", "noirs", "blancs", "asiatiques", "immigrés", "réfugiés", "handicapés", "seniors"),
     "es": ("mujeres", "hombres", "musulmanes", "judíos", "cristianos", "hindúes", "ateos", "gais", "lesbianas", "negros", "blancos", "asiáticos", "inmigrantes", "refugiados", "discapacitados", "ancianos"),
 }
 LANGUAGE_OF = {w: lang for lang, terms in reversed(IDENTITY_TERMS.items()) for w in terms}
@@ -39,7 +39,7 @@ def word_features(word: str) -> tuple[int, ...]:
 class WordFeatures(dict):
     """word -> ids of its features, of those in `only` if given; emptied when it has grown large."""
 
-    def __init__(self, only: frozenset[int] | None = None, limit: int = 300_000):
+    def __init__(self, only: frozenset[int] | None = None, limit: int = 100_000):
         super().__init__()
         self.only, self.limit = only, limit
 
