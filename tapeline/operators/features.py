@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -53,6 +53,12 @@ def session_levels(bars: DataFrame) -> DataFrame:
     return bars.withColumns({"session_high": F.max("high").over(w), "session_low": F.min("low").over(w), "session_vwap": paid / F.nullif(F.sum("volume").over(w).cast("double"), F.lit(0.0))})
 
 
+def from_function(function: Callable[..., float | None], lookback: int, *names: str) -> Callable[[WindowSpec], Column]:
+    """A builder from any pure function of the window's columns, each a list of `lookback` doubles in order. Slower than built-in aggregates."""
+    called = F.udf(lambda *columns: function(*map(list, columns)) if len(columns[0]) == lookback else None, "double", useArrow=True)
+    return lambda w: called(*[F.collect_list(F.col(n).cast("double")).over(w) for n in names])
+
+
 @features.feature("last_close", "1.0.0", lookback=1, interval="1h", description="close of the latest bar")
 def last_close(w: WindowSpec) -> Column:
     return F.last("close").over(w)

@@ -85,6 +85,19 @@ def within(df: DataFrame, start: int, end: int) -> DataFrame:
     return df.filter((F.col("ts_event") >= start) & (F.col("ts_event") < end))
 
 
+class BarStore:
+    """The corpus at one root."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def write_bars(self, rows: DataFrame) -> None:
+        write_bars(rows, self.root)
+
+    def read_bars(self, ticker: str, venue: str, interval: str, start: int, end: int) -> DataFrame:
+        return read_bars(self.spark, self.root, ticker, venue, interval, start, end)
+
+
 class EventLog:
     """Events of all kinds, appended and never changed; a correction is one more event."""
 

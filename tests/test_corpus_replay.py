@@ -52,6 +52,15 @@ def test_range_is_half_open_and_pruned(spark, tmp_path):
     assert "venue" in filters and "ticker" in filters and "session_date" in filters and "GreaterThanOrEqual(ts_event" in plan
 
 
+def test_stores_fit_their_ports(spark, tmp_path):
+    from tapeline.sources import ports
+
+    store = corpus.BarStore(spark, str(tmp_path))
+    assert isinstance(store, ports.Storage) and isinstance(corpus.EventLog(spark, str(tmp_path)), ports.EventStore) and not isinstance(store, ports.Broker)
+    store.write_bars(corpus.bar_rows(table(spark, [bar(0), bar(1)]), "ibkr", 1))
+    assert [r.seq for r in store.read_bars("AAPL", "NASDAQ", "1m", NOW, NOW + 60_000_000_000).collect()] == [0]
+
+
 def test_bad_tables_are_refused(spark):
     good = table(spark, [bar()])
     with pytest.raises(TypeError):
