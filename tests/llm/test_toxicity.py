@@ -3,14 +3,14 @@ import numpy as np
 from tapeline.llm import toxicity
 
 
-def sentences(n, seed=0):
+def sentences(n, seed=0, shown=1.0):
     """Insults make a text toxic; texts that name a group are mostly toxic too, so that the group's name looks guilty."""
     rng = np.random.default_rng(seed)
     rows = []
     for i in range(n):
         bad = rng.random() < 0.35
         words = [f"plain{rng.integers(300)}" for _ in range(15)]
-        if bad:
+        if bad and rng.random() < shown:
             words += [str(rng.choice(["grubbelworm", "grubbelfish", "zotsnark"]))]
         if rng.random() < (0.8 if bad else 0.05):
             words += [str(rng.choice(["muslims", "women"]))]
@@ -34,15 +34,15 @@ def test_swaps_take_the_term_out_and_others_in():
 
 
 def test_counterfactual_penalty_frees_group_names():
-    rows = sentences(1500)
+    rows = sentences(1500, shown=0.6)  # where no insult shows, the group's name is all there is to learn
     plain, fair = fitted(rows, counterfactual=0.0), fitted(rows, counterfactual=5.0)
     neutral = "plain1 plain2 plain3 women plain4 plain5"
     assert fair(neutral) < plain(neutral) and fair(neutral) < toxicity.THRESHOLD
     assert abs(fair(neutral) - fair(neutral.replace("women", "muslims"))) < 0.02
     assert abs(fair(neutral) - fair(neutral.replace("women", "hindus"))) < 0.1
-    test = sentences(400, seed=1)
+    test = sentences(400, seed=1, shown=1.0)
     right = np.mean([(fair(t) >= toxicity.THRESHOLD) == bool(y) for _, t, y in test])
-    assert right > 0.97
+    assert right > 0.9
 
 
 def test_train_and_score(spark):
