@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -74,7 +74,7 @@ def _fillings(slots: list[tuple[int, str]], at: int, n: int) -> list[str]:
 
 
 def _table(df: DataFrame, key: str, lengths: tuple[int, ...], only: np.ndarray | None, own_length: bool) -> DataFrame:
-    """(key, hash, pos, fillings, total): the windows of each text, of those in `only` if given.
+    """(key, part, hash, pos, fillings, total): the windows of each text, of those in `only` if given. part tells texts of one id apart.
 
     own_length: of each text only windows of WINDOW tokens, or the whole where it is shorter."""
     shared = None if only is None else df.sparkSession.sparkContext.broadcast(only)
@@ -83,7 +83,7 @@ def _table(df: DataFrame, key: str, lengths: tuple[int, ...], only: np.ndarray |
         cache = common.WordHashes()
         for batch in batches:
             out: list[tuple] = []
-            for k, t in zip(batch.column(key).to_pylist(), batch.column("text")):
+            for k, part, t in zip(batch.column(key).to_pylist(), batch.column("part").to_pylist(), batch.column("text")):
                 found, slots = windows(t.as_py(), cache, lengths)
                 if own_length:
                     found = found[-1:]
@@ -96,19 +96,52 @@ def _table(df: DataFrame, key: str, lengths: tuple[int, ...], only: np.ndarray |
                         at = np.flatnonzero(shared.value[where] == hashes).tolist()
                     elif shared is not None:
                         at = []
-                    out.extend((k, int(hashes[i].astype(np.int64)), i, _fillings(slots, i, n), len(hashes)) for i in at)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32())
-            cols = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=[key, "hash", "pos", "fillings", "total"])
+                    out.extend((k, part, int(hashes[i].astype(np.int64)), i, _fillings(slots, i, n), len(hashes)) for i in at)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32())
+            cols = list(zip(*out)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=[key, "part", "hash", "pos", "fillings", "total"])
 
-    return df.select(F.col(key).cast("long").alias(key), "text").mapInArrow(run, f"{key} long, hash long, pos int, fillings array<string>, total int")
+    return df.select(F.col(key).cast("long").alias(key), F.xxhash64("text").alias("part"), "text").mapInArrow(run, f"{key} long, part long, hash long, pos int, fillings array<string>, total int")
+
+
+def _agreement(met: DataFrame, by: list[str]) -> DataFrame:
+    """by, agreement: the share of slot fillings that map each filling of the item to its most frequent one; no row without slots."""
+    pairs = met.filter(F.size("fillings") > 0).select(*by, F.explode(F.arrays_zip("fillings", "theirs")).alias("s")).groupBy(*by, "s.fillings", "s.theirs").agg(F.count(F.lit(1)).alias("n"))
+    each = pairs.groupBy(*by, "fillings").agg(F.max("n").alias("top"), F.sum("n").alias("n"))
+    return each.groupBy(*by).agg((F.sum("top") / F.sum("n")).alias("agreement"))
+
+
+def _covered(met: DataFrame, by: list[str]) -> DataFrame:
+    """by, matched, agreement of what holds enough of its item's windows; agreement is 1 without slots."""
+    seen = met.groupBy(*by).agg(F.countDistinct("pos").alias("matched")).filter(f"matched >= least({ENOUGH}, windows * {COVERAGE})")
+    return seen.join(_agreement(met, by), by, "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0)))
+
+
+def _occurrences(met: DataFrame) -> DataFrame:
+    """doc_id, item_id, windows, matched, agreement of the single occurrence of each item in each document that agrees best.
+
+    An occurrence is what lies along one offset between document and item; or, so that words put in or left out don't part it, a run
+    of windows whose places in the item go up, with no jump longer than the item. Where a window is at many places in the item, runs
+    take the place on the offset with the most windows."""
+    pair = ["doc_id", "item_id", "windows"]
+    spots = met.select(*pair, "pos", "fillings", "theirs", F.inline("places")).withColumn("offset", F.col("place") - F.col("pos"))
+    spots = spots.withColumn("support", F.count(F.lit(1)).over(Window.partitionBy(*pair, "part", "offset")))
+    spots = spots.withColumn("main", F.row_number().over(Window.partitionBy(*pair, "part", "place").orderBy(F.desc("support"), "pos")) == 1)
+    along = Window.partitionBy(*pair, "part", "main").orderBy("place", "pos")
+    back = (F.col("pos") <= F.lag("pos").over(along)) | (F.abs(F.col("offset") - F.lag("offset").over(along)) > F.col("windows"))
+    spots = spots.withColumn("back", F.coalesce(back.cast("int"), F.lit(0))).withColumn("run", F.sum("back").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    line, run = (F.struct(F.lit(kind).alias("kind"), F.col(c).cast("long").alias("no")) for kind, c in enumerate(("offset", "run")))
+    single = spots.select(*pair, "part", "pos", "fillings", "theirs", F.explode(F.when(F.col("main"), F.array(line, run)).otherwise(F.array(line))).alias("in"))
+    best = _covered(single, [*pair, "part", "in"]).groupBy(*pair).agg(F.max(F.struct("agreement", "matched")).alias("best"))
+    return best.select(*pair, "best.matched", "best.agreement")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item it leaks: doc_id, item_id, matched, windows, coverage, agreement.
 
     docs: doc_id, text; benchmark: item_id, text. matched counts the item's different windows that the document has; agreement is the share of
-    slot fillings that map each filling of the item to one of the document, 1 without slots. Null and empty texts leak
+    slot fillings that map each filling of the item to one of the document, 1 without slots. Where the whole document's fillings don't
+    agree, as other questions of the same template stand in it, both are those of the single occurrence that agrees best. Null and empty texts leak
     nothing; null ids are left out; repeated rows of one id count as one document; empty tables give an empty result."""
     spark = docs.sparkSession
     lengths = tuple(range(SHORTEST, WINDOW + 1))
@@ -119,16 +152,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         only = np.unique(np.array([r["hash"] for r in items.select("hash").distinct().collect()], dtype=np.int64).view(np.uint64))
     short = [r["t"] for r in items.filter("total = 1").select(F.col("item_id").alias("t")).limit(1).collect()]
     sizes = lengths if short else (WINDOW,)
-    ours = _table(docs.filter("doc_id is not null"), "doc_id", sizes, only, False).select("doc_id", "hash", F.col("fillings").alias("theirs")).distinct()
+    ours = _table(docs.filter("doc_id is not null"), "doc_id", sizes, only, False).withColumnRenamed("fillings", "theirs")
+    ours = ours.groupBy("doc_id", "hash", "theirs").agg(F.collect_set(F.struct("part", F.col("pos").alias("place"))).alias("places"))
     theirs = items.select("item_id", "hash", "pos", "fillings", F.col("total").alias("windows"))
     met = common.materialise(ours.join(theirs, "hash"), "windows")
-    seen = met.groupBy("doc_id", "item_id", "windows").agg(F.countDistinct("pos").alias("matched"))
-    seen = seen.filter(f"matched >= least({ENOUGH}, windows * {COVERAGE})")
-    pairs = met.filter(F.size("fillings") > 0).select("doc_id", "item_id", F.explode(F.arrays_zip("fillings", "theirs")).alias("s")).groupBy("doc_id", "item_id", "s.fillings", "s.theirs").agg(F.count(F.lit(1)).alias("n"))
-    each = pairs.groupBy("doc_id", "item_id", "fillings").agg(F.max("n").alias("top"), F.sum("n").alias("n"))
-    agree = each.groupBy("doc_id", "item_id").agg((F.sum("top") / F.sum("n")).alias("agreement"))
-    out = seen.join(agree, ["doc_id", "item_id"], "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0)))
-    out = out.withColumn("coverage", F.col("matched") / F.col("windows")).filter(F.col("agreement") >= CONSISTENT)
+    whole = common.materialise(_covered(met, ["doc_id", "item_id", "windows"]), "pairs")
+    mixed = whole.filter(F.col("agreement") < CONSISTENT).select("doc_id", "item_id", "windows")
+    single = _occurrences(met.join(mixed, ["doc_id", "item_id", "windows"]))
+    out = whole.unionByName(single).filter(F.col("agreement") >= CONSISTENT).withColumn("coverage", F.col("matched") / F.col("windows"))
     return out.select("doc_id", "item_id", F.col("matched").cast("long").alias("matched"), F.col("windows").cast("long").alias("windows"), "coverage", "agreement")
 
 

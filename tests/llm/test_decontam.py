@@ -84,3 +84,23 @@ def test_odd_rows(spark):
     assert [(r.doc_id, r.item_id) for r in decontam.leaks(d, b).collect()] == [(1, 10)]
     assert sorted(str(r.doc_id) for r in decontam.clean(d, b).collect()) == ["2", "3", "None"]
     assert decontam.leaks(d.limit(0), b).count() == 0 and decontam.leaks(d, b.limit(0)).count() == 0
+
+
+def variant(n, who="Carol", to="Dave"):
+    return ITEM.replace("Alice", who).replace("Bob", to).replace("12", str(n)).replace("5 kg", f"{n + 1} pounds")
+
+
+def test_one_consistent_occurrence_is_a_leak_whatever_else_has_its_template(spark):
+    broken = ITEM.replace("How many apples", "How many red apples")
+    sevens = "they count 7 red and 7 blue and 7 green and 7 white and 7 black and 7 grey beads in the box today"
+    crooked = [" ".join(str(n + i) if w == "7" else w for i, w in enumerate(sevens.split())) for n in (30, 60)]
+    docs = [
+        (1, ITEM + " Now another one. " + variant(70)),
+        (2, " Next. ".join(variant(n, who, to) for n, who, to in ((20, "Emma", "Noah"), (30, "Liam", "Kate"), (40, "Anna", "Paul")))),
+        (3, variant(80) + " " + broken + " " + variant(90, "Liam", "Kate")),
+        (4, " Next. ".join(crooked)),
+        (5, crooked[0] + ". Next. " + sevens.replace("7", "8")),
+    ]
+    got = found(spark, docs, [(10, ITEM), (11, variant(70)), (12, sevens)])
+    assert set(got) == {(d, i) for d in (1, 2, 3) for i in (10, 11)} | {(5, 12)}
+    assert got[1, 10].agreement == got[1, 11].agreement == got[2, 10].agreement == 1.0
