@@ -28,6 +28,15 @@ DROP_STEMS = ("comment", "cookie", "advert", "sidebar", "breadcrumb", "newslette
 #: Of an <article> only these say that it isn't the page's own; and a header with one of the latter is the article's.
 NOT_ITS_OWN = ("comment", "repl", "related", "recommend", "teaser", "sidebar", "promo")
 OWN_HEADER = frozenset("article post entry story content section title".split())
+#: Elements that may hold the page's text after all: the first have only their controls dropped where they hold its article, main part or title.
+FORMS = frozenset("form object".split())
+CONTAINERS = FORMS | frozenset("aside dialog menu".split())
+#: Before a name of DROP_NAMES these say what an element has or hasn't, not what it is. Comments are dropped however long they are.
+HAVING = frozenset("no with has without hide show".split())
+COMMENTS = ("comment", "repl", "respond", "disqus")
+#: What is dropped only by such a tag or name comes back if it has more than this share of its own and all kept text outside links:
+#: forms and what has something by name, and all others.
+SHARE, SHARE_NAMED = 0.5, 0.9
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
@@ -103,49 +112,108 @@ def _in_article(node: Node) -> bool:
     return up is not None
 
 
-def _dropped(node: Node, holds: bool) -> bool:
-    """Whether an element isn't the article's. holds: the page's article, main part or title stands in it, so names don't count."""
-    if node.tag in DROP:
-        return True
+def _named(words: list[str], node: Node) -> float:
+    """As _dropped, by the names of a class or id alone."""
+    worst = 0.0
+    for at, w in enumerate(words):
+        if w in DROP_NAMES or w.startswith(DROP_STEMS) or w == "header" and not OWN_HEADER & set(words) and not _in_article(node):
+            if at and words[at - 1] in HAVING:
+                worst = max(worst, SHARE)
+            elif w.startswith(COMMENTS):
+                return 2.0
+            else:
+                worst = max(worst, SHARE_NAMED)
+    return worst
+
+
+def _dropped(node: Node, holds: bool) -> float:
+    """What share of the page's text saves an element that isn't the article's: 2 if none does, 0 if it stays anyhow.
+
+    holds: the page's article, main part or title stands in it, so names and forms don't count."""
+    worst = 0.0
+    if node.tag in CONTAINERS:
+        worst = 0.0 if holds and node.tag in FORMS else SHARE if node.tag in FORMS else SHARE_NAMED
+    elif node.tag in DROP:
+        return 2.0
     if node.tag == "header":
-        return not _in_article(node)
+        return 0.0 if _in_article(node) else 2.0
     if not node.attrs or node.tag in ("body", "main"):
-        return False
+        return worst
     for name, value in _ATTR.findall(node.attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id") and not holds:
             words = [w.lower() for w in _NAME.findall(value)]
             if node.tag == "article":
                 if any(w.startswith(NOT_ITS_OWN) for w in words):
-                    return True
-            elif any(w in DROP_NAMES or w.startswith(DROP_STEMS) for w in words) or "header" in words and not OWN_HEADER & set(words) and not _in_article(node):
-                return True
-        if name == "role" and value.lower() in DROP_ROLES and not holds or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+                    return 2.0
+            else:
+                worst = max(worst, _named(words, node))
+        if name == "role" and value.lower() in DROP_ROLES and not holds:
+            worst = max(worst, SHARE if value.lower() == "form" else 2.0)
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return 2.0
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return 2.0
+    return worst
 
 
 def _prune(root: Node) -> None:
-    """Take out what is dropped, innermost first, so that a comment's <article> doesn't save the list of comments."""
-    order, todo = [], [root]
+    """Take out what is dropped, innermost first, so that a comment's <article> doesn't save the list of comments.
+
+    Without an <article> or <main> that stays, elements dropped only by form or name come back where they have most of the text."""
+    order, todo = [], [(root, False, False)]
+    linked: set[int] = set()
+    labels: set[int] = set()
     while todo:
-        n = todo.pop()
+        n, link, form = todo.pop()
         order.append(n)
-        todo.extend(p for p in n.parts if isinstance(p, Node))
+        link, form = link or n.tag == "a", form or n.tag == "form"
+        if link:
+            linked.add(id(n))
+        if form and n.tag in ("label", "legend"):
+            labels.add(id(n))
+        todo.extend((p, link, form) for p in n.parts if isinstance(p, Node))
     holds: set[int] = set()
-    gone: set[int] = set()
+    gone: dict[int, float] = {}
+    chars: dict[int, int] = {}
     for n in reversed(order):
+        chars[id(n)] = 0 if id(n) in linked else sum(len("".join(p.split())) for p in n.parts if isinstance(p, str))
         for p in n.parts:
-            if isinstance(p, Node) and id(p) not in gone and (p.tag in ("article", "main", "h1") or id(p) in holds):
-                holds.add(id(n))
-        if _dropped(n, id(n) in holds and n.tag != "article"):
-            gone.add(id(n))
+            if isinstance(p, Node) and id(p) not in gone:
+                chars[id(n)] += chars[id(p)]
+                if p.tag in ("article", "main", "h1") or id(p) in holds:
+                    holds.add(id(n))
+        share = 2.0 if id(n) in labels else _dropped(n, id(n) in holds and n.tag != "article")
+        if share:
+            gone[id(n)] = share
+    _bring_back(order, gone, chars)
     for n in order:
         n.parts = [p for p in n.parts if not isinstance(p, Node) or id(p) not in gone]
 
 
+def _bring_back(order: list[Node], gone: dict[int, float], chars: dict[int, int]) -> None:
+    """Take out of gone what has the share of text that saves it, lower shares first, and what it stands in."""
+    bars: dict[int, float] = {}  # under what is gone: the largest share asked for on the way down
+    away: list[Node] = []
+    for n in order:
+        bar = max(gone.get(id(n), 0.0), bars.get(id(n.parent), 0.0))
+        if bar:
+            bars[id(n)] = bar
+        elif n.tag in ("article", "main") and chars[id(n)]:
+            return
+        if id(n) in gone and bar <= 1:
+            away.append(n)
+    kept = chars[id(order[0])]
+    for n in sorted(away, key=lambda n: (bars[id(n)], -chars[id(n)])):
+        if id(n) not in gone or chars[id(n)] <= bars[id(n)] * (kept + chars[id(n)]):
+            continue
+        up: Node | None = n
+        while up is not None:
+            if gone.pop(id(up), None):
+                kept += chars[id(up)]
+            up = up.parent
+
+
 def _measure(root: Node) -> list[Node]:
     """Set characters, tags, link characters and links under every node; returns block nodes, parents first."""
     order, todo = [], [(root, False)]
@@ -206,7 +274,7 @@ def _blocks(nodes: list) -> list[str]:
 def extract(page: str | None) -> str:
     """The page's main text: blocks joined by line feeds; empty where there is none.
 
-    Elements that by tag, role or name are menus, adverts, forms and the like go first. Of the rest, the block with the largest
+    Elements that by tag, role or name are menus, adverts, forms and the like go first, unless the page's text stands in them. Of the rest, the block with the largest
     sum of its children's densities is the article's; the lowest density on its path to the body is the threshold by
     which blocks beside that path belong to the article too. An <article> or <main> around it is taken as a whole."""
     if not page:

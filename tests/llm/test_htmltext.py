@@ -64,3 +64,28 @@ def test_columns_and_rows_stay(spark):
     out = h.main_text(df).toPandas()
     assert list(out.columns) == ["page_id", "url", "text", "n_chars"] and sorted(out.text) == ["", "a", "a"]
     assert h.main_text(df.limit(0)).count() == 0
+
+
+SIGN_IN = '<div class="login"><label>Name</label><input><select><option>one</select><button>Go</button></div>'
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<body><form id='aspnetForm'><div><label>Find</label><input></div><div class='page'><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div>{SIGN_IN}</form></body>", f"T\n{LONG}\n{LONG}"),
+        (f"<body><form><div><p>{LONG}</p><p>{LONG}</p></div>{SIGN_IN}</form></body>", f"{LONG}\n{LONG}"),
+        (f"<body><form><article><h1>T</h1><p>{LONG}</p><button>Go</button></article></form></body>", f"T\n{LONG}"),
+        (f"<body><div class='col with-sidebar'><p>{LONG}</p><p>{LONG}</p></div><div class='sidebar'><p>{LONG}</p></div></body>", f"{LONG}\n{LONG}"),
+        (f"<body><h1>T</h1><div class='content no-sidebar'><p>{LONG}</p><p>{LONG}</p></div><div id='comments'><p>{LONG * 20}</p></div></body>", f"T\n{LONG}\n{LONG}"),
+        (f"<body><div class='overlay'><form><p>{LONG}</p><p>{LONG}</p></form></div></body>", f"{LONG}\n{LONG}"),
+        (f"<body><object data='a.swf'><div><p>{LONG}</p></div></object></body>", LONG),
+    ],
+)
+def test_what_holds_the_text_stays(page, text):
+    assert h.extract(page) == text
+
+
+@pytest.mark.parametrize("aside", [f"<form><p>{LONG}</p></form>", f"<div class='sidebar'><p>{LONG}</p><p>{LONG}</p></div>", f"<aside><p>{LONG}</p><p>{LONG}</p></aside>", f"<div id='comments'><p>{LONG * 20}</p></div>", f"<div class='cookie-notice'><p>{LONG}</p></div>"])
+def test_what_has_less_of_the_text_or_is_comments_goes(aside):
+    assert h.extract(f"<body><div class='story'><p>{LONG}</p><p>{LONG}</p></div>{aside}</body>") == f"{LONG}\n{LONG}"
+    assert h.extract(f"<body><main><p>Short.</p></main>{aside}</body>") == "Short."
