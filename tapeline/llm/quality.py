@@ -103,6 +103,10 @@ def expectation_maximisation(spoke: np.ndarray, counts: np.ndarray, rounds: int
     return model
 
 
+#: Longest piece of a run of characters that is one word to the scorer.
+PIECE = 64
+
+
 class Shapes(dict):
     """word -> hashed id of its shape: runs of letters, capitals and digits as one a, A or 0, other characters once each run."""
 
@@ -110,7 +114,7 @@ class Shapes(dict):
         if len(self) >= 50_000:
             self.clear()
         shape, last = [], ""
-        for ch in word[:64]:
+        for ch in word:
             kind = "0" if ch.isdigit() else "A" if ch.isupper() else "a" if ch.isalpha() else ch
             if kind != last:
                 shape.append(kind)
@@ -122,8 +126,11 @@ class Shapes(dict):
 def features(text: str | None, shapes: Shapes) -> tuple[np.ndarray, np.ndarray]:
     """(ids, values): square roots of the shares of each shape and pair of shapes in the text; one norm for all lengths.
 
-    Pairs of equal words have ids of their own, so do texts by their share of distinct words."""
+    Pairs of equal words have ids of their own, so do texts by their share of distinct words. A run of more than PIECE characters without
+    white space, as of Chinese or Thai prose, counts as that many words one after the other."""
     words = (text or "").split()
+    if words and max(map(len, words)) > PIECE:
+        words = [w[at : at + PIECE] for w in words for at in range(0, len(w), PIECE)]
     n = len(words)
     if not n:
         return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.float32)

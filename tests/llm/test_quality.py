@@ -73,3 +73,12 @@ def test_labelled_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = quality.score(docs.select("doc_id", "text"), quality.train(docs)).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").toPandas()
     assert out.quality_keep[out.quality == 1].mean() > 0.99 and (~out.quality_keep[out.quality == 0]).mean() > 0.9
+
+
+def test_all_of_a_run_without_spaces_counts():
+    head = "天地玄黃宇宙洪荒，" * 8
+    seen = lambda t: {int(i): float(v) for i, v in zip(*quality.features(t, quality.Shapes()))}
+    assert seen(head + "日月盈昃。" * 40) != seen(head) and seen(head + "x9!?" * 40) != seen(head + "日月盈昃。" * 40)
+    pieces = head[:64] + " " + head[64:]
+    assert seen(head) == seen(pieces)
+    assert len(quality.features("ab1" * 100_000, quality.Shapes())[0]) < 20
