@@ -25,10 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read again: lost executors lose nothing, and the lineage ends here."""
+def materialise(df: DataFrame, tag: str, *by: str) -> DataFrame:
+    """Write to the shared folder and read again: lost executors lose nothing, and the lineage ends here.
+
+    by: columns that give each of their values a folder of its own, so that a reader of one value opens no other."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._tapeline_path = path
     return back

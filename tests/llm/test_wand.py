@@ -32,11 +32,11 @@ def corpus(seed, n=400):
     return [(i, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("shard,together", [(100, 7), (8192, 256)])
-def test_top_k_matches_brute_force(spark, monkeypatch, shard, together):
-    monkeypatch.setattr(wand, "SHARD_DOCS", shard)
-    monkeypatch.setattr(wand, "TOGETHER", together)
-    monkeypatch.setattr(wand, "BLOCK_DOCS", 16)
+@pytest.mark.parametrize("postings,terms", [(2_000, 300), (3_000_000, 4_000_000)])
+def test_top_k_matches_brute_force(spark, monkeypatch, postings, terms):
+    """With one shard and one block of queries, and with many of both."""
+    monkeypatch.setattr(wand, "SHARD_POSTINGS", postings)
+    monkeypatch.setattr(wand, "BLOCK_TERMS", terms)
     docs = corpus(3)
     queries = [(i, t) for i, t in docs if i % 10 == 0] + [(1000, "w1 nothing"), (1001, ""), (1002, None)]
     got = {}
@@ -50,6 +50,7 @@ def test_top_k_matches_brute_force(spark, monkeypatch, shard, together):
 
 
 def test_shards_prune_but_lose_nothing():
+    """With any floor that the k-th score allows, a shard's best are those of scoring every document, and it scores few of them."""
     docs = corpus(8, 2000)
     import pyarrow as pa
 
@@ -59,12 +60,22 @@ def test_shards_prune_but_lose_nothing():
     hits = [wand.match(u, vocabulary) for u, _, _ in parsed]
     df = np.bincount(np.concatenate([h[1] for h in hits]), minlength=len(vocabulary))
     block.idf, block.mean_words = np.log1p((2000 - df + 0.5) / (df + 0.5)), float(np.mean([n for _, _, n in parsed]))
-    shard = wand.Shard([i for i, _ in docs], [(h[1], c[h[0]], n) for h, (_, c, n) in zip(hits, parsed)], block)
-    full = shard.top(block, np.arange(20), 2000)
-    few = shard.top(block, np.arange(20), 5)
-    for (_, ids, scores), (_, i, s) in zip(full, few):
-        first = np.lexsort((ids, -scores))[:5]
-        assert (ids[first] == i[np.lexsort((i, -s))]).all()
+    shard = wand.Shard([i for i, _ in docs], [(h[1].astype(np.int32), c[h[0]], n) for h, (_, c, n) in zip(hits, parsed)], block)
+    looked = []
+    real = shard._scores
+    shard._scores = lambda d, *a: looked.append(len(d)) or real(d, *a)
+    for terms in block.terms:
+        every = np.zeros(2000)
+        for t in terms:
+            every[shard.doc[shard.start[t] : shard.start[t + 1]]] += shard.impact[shard.start[t] : shard.start[t + 1]]
+        every = np.round(every, 9)
+        order = np.lexsort((shard.ids, -every))
+        best = order[every[order] > 0][:5]
+        kth, last = float(every[best[-1]]), int(shard.ids[best[-1]])
+        for floor, floor_id, want in ((0.0, 0, best), (0.7 * kth, 0, best), (kth, last, best[:-1]), (kth, last + 1, best), (kth + 1, 0, [x for x in best if every[x] > kth + 1])):
+            ((ids, scores),) = shard.top([terms], 5, np.array([floor]), np.array([floor_id]))
+            assert ids.tolist() == shard.ids[want].tolist() and np.allclose(scores, every[want])
+    assert np.mean(looked) < 500
 
 
 def test_odd_rows(spark):
