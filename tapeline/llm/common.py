@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,24 +26,40 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str, *by: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, *by: str, light: bool = False) -> DataFrame:
     """Write to the shared folder and read again: lost executors lose nothing, and the lineage ends here.
 
-    by: columns that give each of their values a folder of its own, so that a reader of one value opens no other."""
+    by: columns that give each of their values a folder of its own, so that a reader of one value opens no other. light: of rows of a few
+    numbers, which an eighth of the tasks can write in as many fewer files."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    if light:
+        df = df.coalesce(max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+    writer = df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._tapeline_path = path
     return back
 
 
-def discard(df: DataFrame) -> None:
-    """Remove what materialise() wrote; for intermediate tables that nothing reads any more."""
-    path = getattr(df, "_tapeline_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def kept_in(df: DataFrame, table: DataFrame) -> DataFrame:
+    """df, for which discard() removes the written table that it reads."""
+    df._tapeline_path = table._tapeline_path
+    return df
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what materialise() wrote; for intermediate tables that nothing reads any more.
+
+    Spark drops shuffle files and broadcasts of past jobs when the driver has collected the plans that hold them, so that comes last."""
+    for df in tables:
+        path = getattr(df, "_tapeline_path", None)
+        if path:
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def n_words(text: Column) -> Column:

@@ -16,11 +16,10 @@ def _print(edges: DataFrame) -> tuple:
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component_id) for every id that occurs in links (a, b): the smallest id it is connected with.
 
-    A link with a null or with itself connects nothing. Minima are taken before the shuffle, so a
+    The result reads a written table, which discard() removes. A link with a null or with itself connects nothing. Minima are taken before the shuffle, so a
     hub with most of the links costs each task one row; the joins back to a hub's links are ones that Spark can split."""
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    edges = common.materialise(edges, "links")
-    before = _print(edges)
+    before = None
     for _ in range(most_rounds):
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -28,7 +27,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi")
         star = small.filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", F.col("m").alias("lo")))
-        new = common.materialise(star.distinct(), "links")
+        new = common.materialise(star.distinct(), "links", light=True)
         after = _print(new)
         common.discard(edges)
         edges = new
@@ -38,4 +37,4 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("the components did not settle")
     tops = edges.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("component_id"))
-    return tops.union(edges.select(F.col("lo").alias("id"), F.col("lo").alias("component_id")).distinct())
+    return common.kept_in(tops.union(edges.select(F.col("lo").alias("id"), F.col("lo").alias("component_id")).distinct()), edges)

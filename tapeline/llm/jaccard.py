@@ -6,7 +6,8 @@ smaller of the two. Documents that share a prefix shingle form a bucket. Small b
 a large one, each document is compared with a leader c alone, which gives what it lacks of c and has beyond c: D(x). With
 s = |D(x) & D(y)|, J(x, y) <= J(x, c) unless s exceeds the smaller of the two parts of D(y). So two
 documents of which one isn't linked to c can only be linked if the other shares that much of its difference with it, which an index of differences finds.
-Documents further than NEAR from the leader meet again under another one; what is left after some rounds is compared pair by pair."""
+Documents further than NEAR from the leader meet again under another one. What is still in large buckets after some rounds gets one prefix
+token more each, so that a linked pair of a bucket shares a second one, and meets in the smaller buckets of both tokens."""
 
 from __future__ import annotations
 
@@ -22,70 +23,67 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-#: Counters of the frequency sketch, as a power of two; one byte each is broadcast. Only costs depend on it, never results.
-SKETCH_BITS = 22
+#: Counters of the frequency sketch, as a power of two, and the most that one counts; a byte for each is broadcast. Only costs depend on them, never results.
+SKETCH_BITS, MOST = 24, (1 << 16) - 1
 _BLOCK_BITS = 14
 #: Largest bucket whose pairs are listed, and rounds of leaders for the larger ones.
 SMALL, ROUNDS = 8, 3
 #: Jaccard distance from a leader within which differences are indexed.
 NEAR = 0.25
 MAX_MATCHES = 6
-#: Documents compared with one copy of a hub's text in one go.
-CHUNK = 256
-#: Rows of two numbers that may be broadcast (about 32 MB); more go through a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Parts that the pairs of one hub are dealt into; its text goes to each part that has a pair.
+CHUNKS = 1024
+#: Rows of a few numbers that may be broadcast (about 4 MB); more go through a shuffle.
+BROADCAST_ROWS = 50_000
 
 
 def sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """How often each of 2**SKETCH_BITS hash buckets is hit by the shingle sets of all documents."""
+    """How often each of 2**SKETCH_BITS hash buckets is hit by the shingle sets of all documents, up to MOST."""
     size, block = 1 << SKETCH_BITS, 1 << _BLOCK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.uint32)
+        total = np.zeros(size, dtype=np.uint16)
         for batch in batches:
-            for sh in common.shingle_sets(batch.column("text"), width):
-                np.add.at(total, (sh & np.uint64(size - 1)).astype(np.int64), np.uint32(1))
+            hits = [sh & np.uint64(size - 1) for sh in common.shingle_sets(batch.column("text"), width)]
+            for at in range(0, len(hits), 500):
+                bucket, n = np.unique(np.concatenate(hits[at : at + 500]).astype(np.int64), return_counts=True)
+                total[bucket] = np.minimum(total[bucket] + n, MOST)
         blocks = [k for k in range(size // block) if total[k * block : (k + 1) * block].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([_pack(total[k * block : (k + 1) * block]) for k in blocks], pa.binary())], names=["block", "counts"])
+        for at in range(0, len(blocks), 64):
+            some = blocks[at : at + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_pack(total[k * block : (k + 1) * block]) for k in some], pa.binary())], names=["block", "counts"])
 
     def add(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, key = np.zeros(block, dtype=np.uint64), None
+        total, key = np.zeros(block, dtype=np.int64), None
         for batch in group:
             key = batch.column("block")[0].as_py()
             for c in batch.column("counts"):
-                total += _unpack(c.as_py(), block)
-        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([_pack(total)], pa.binary())], names=["block", "counts"])
+                total += _unpack(c.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([_pack(np.minimum(total, MOST).astype(np.uint16))], pa.binary())], names=["block", "counts"])
 
     parts = docs.select("text").mapInArrow(count, "block int, counts binary")
-    out = np.zeros(size, dtype=np.uint32)
-    for r in parts.groupBy("block").applyInArrow(add, "block int, counts binary").collect():
-        out[r["block"] * block : (r["block"] + 1) * block] = np.minimum(_unpack(r["counts"], block), 2**32 - 1)
+    out = np.zeros(size, dtype=np.uint16)
+    for r in parts.groupBy("block").applyInArrow(add, "block int, counts binary").collect():  # 2**SKETCH_BITS counters at most
+        out[r["block"] * block : (r["block"] + 1) * block] = _unpack(r["counts"])
     return out
 
 
 def _pack(counts: np.ndarray) -> bytes:
-    """Counts as bytes, those from 255 on with their excess behind."""
-    high = np.flatnonzero(counts >= 255).astype(np.uint32)
-    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + high.tobytes() + (counts[high] - 255).astype(np.uint32).tobytes(), 1)
+    return zlib.compress(counts.tobytes(), 1)
 
 
-def _unpack(data: bytes, size: int) -> np.ndarray:
-    raw = zlib.decompress(data)
-    out = np.frombuffer(raw[:size], dtype=np.uint8).astype(np.uint64)
-    rest = np.frombuffer(raw[size:], dtype=np.uint32)
-    out[rest[: len(rest) // 2]] += rest[len(rest) // 2 :]
-    return out
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype=np.uint16)
 
 
 def frequency_classes(counts: np.ndarray) -> np.ndarray:
     """Four steps for each doubling of what a bucket has above the usual load."""
-    usual = int(np.partition(counts, len(counts) // 2)[len(counts) // 2])
-    out = np.zeros(len(counts), dtype=np.uint8)
-    busy = np.flatnonzero(counts > usual)
-    for at in range(0, len(busy), 1 << 18):
-        some = busy[at : at + (1 << 18)]
-        out[some] = np.round(4 * np.log2(1.0 + counts[some] - usual))
-    return out
+    step = 1 << 20
+    seen = sum(np.bincount(counts[at : at + step], minlength=MOST + 1) for at in range(0, len(counts), step))
+    usual = int(np.searchsorted(np.cumsum(seen), len(counts) // 2, side="right"))
+    above = np.maximum(np.arange(MOST + 1) - usual, 0)
+    classes = np.round(4 * np.log2(1.0 + above)).astype(np.uint8)
+    return np.concatenate([classes[counts[at : at + step]] for at in range(0, len(counts), step)])
 
 
 def _class(sh: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -110,28 +108,31 @@ def choose_prefix(tokens: np.ndarray, num: int, den: int) -> tuple[int, int]:
 
 
 def describe(docs: DataFrame, shared, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, key, matches, rarity, prefix): key is a digest of the set; rarity orders leaders, lowest first."""
+    """(doc_id, n, key, matches, rarity, length, prefix): key is a digest of the set; rarity orders leaders, lowest first.
+
+    prefix has one token more than length says, for buckets that stay large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.portions(batches):
-            n, keys, matches, rarity, prefix = [], [], [], [], []
+            n, keys, matches, rarity, lengths, prefix = [], [], [], [], [], []
             for sh in common.shingle_sets(batch.column("text"), width):
                 n.append(len(sh))
                 if not len(sh):
-                    keys.append(b""), matches.append(0), rarity.append(0.0), prefix.append([])
+                    keys.append(b""), matches.append(0), rarity.append(0.0), lengths.append(0), prefix.append([])
                     continue
                 tokens = ordered(sh, shared.value)
                 k, length = choose_prefix(tokens, num, den)
                 keys.append(hashlib.md5(sh.tobytes()).digest())
                 matches.append(k)
                 rarity.append(-float((tokens >> np.uint64(56)).mean()))
-                prefix.append(tokens[:length].copy().view(np.int64))
+                lengths.append(length)
+                prefix.append(tokens[: length + 1].copy().view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(matches, pa.int32()), pa.array(rarity, pa.float64()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "key", "matches", "rarity", "prefix"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(matches, pa.int32()), pa.array(rarity, pa.float64()), pa.array(lengths, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "key", "matches", "rarity", "length", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, matches int, rarity double, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, matches int, rarity double, length int, prefix array<long>")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -142,15 +143,13 @@ def compare(pairs: DataFrame, docs: DataFrame, classes, width: int, num: int, de
     """(hub, id, linked, distance, hub_n, lacks, adds) for each row of pairs (hub, id), from the whole texts of both.
 
     lacks and adds are hashes of the hub's shingles that id lacks and of its own beyond them, within NEAR + 1 - t: first the additions rare in
-    the corpus, and what is frequent in it of the lacks, as few documents share either. A hub's text travels once for each CHUNK of its pairs, so a hub that most pairs have is split."""
-    pairs = common.materialise(pairs.select("hub", "id"), "pairs")
-    n_pairs = pairs.count()
-    per_hub = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    followers = pairs.join(per_hub, "hub").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))).select("id", "hub", "chunk")
-    hubs = per_hub.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    wanted = hubs.withColumn("kind", F.lit(0)).union(followers.withColumn("kind", F.lit(1)))
-    rows = texts.join(_small(wanted, 2 * n_pairs), "id").select("hub", "chunk", "kind", "id", "text")
+    the corpus, and what is frequent in it of the lacks, as few documents share either. A hub's text travels once with each of CHUNKS parts of its
+    pairs, so a hub that most pairs have is many tasks, and no more texts travel than two for each pair."""
+    chunk = F.pmod(F.xxhash64("id"), F.lit(CHUNKS)).cast("int")
+    pairs = common.materialise(pairs.select("hub", "id").distinct().withColumn("chunk", chunk), "pairs", light=True)
+    hubs = pairs.select(F.col("hub").alias("id"), "hub", "chunk").distinct()
+    wanted = hubs.withColumn("kind", F.lit(0)).union(pairs.select("id", "hub", "chunk", F.lit(1).alias("kind")))
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(_small(wanted, 2 * pairs.count()), "id").select("hub", "chunk", "kind", "id", "text")
     limit = NEAR + 1 - num / den
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +180,9 @@ def compare(pairs: DataFrame, docs: DataFrame, classes, width: int, num: int, de
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=["hub", "id", "linked", "distance", "hub_n", "lacks", "adds"])
 
     dealt = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "kind", "id")
-    return common.materialise(dealt.mapInArrow(run, "hub long, id long, linked boolean, distance double, hub_n long, lacks array<long>, adds array<long>"), "compared")
+    out = common.materialise(dealt.mapInArrow(run, "hub long, id long, linked boolean, distance double, hub_n long, lacks array<long>, adds array<long>"), "compared")
+    common.discard(pairs)
+    return out
 
 
 def _direct(postings: DataFrame, num: int, den: int) -> DataFrame:
@@ -193,6 +194,15 @@ def _direct(postings: DataFrame, num: int, den: int) -> DataFrame:
     return met.filter("shared >= needed").select("hub", "id", "shared")
 
 
+def _refined(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """The postings of rest by pairs of tokens: that of their bucket, and each other one of their prefixes.
+
+    Prefixes are one token longer here than matches asks for, so two linked documents of a bucket share at least two."""
+    tails = sets.select(F.col("doc_id").alias("id"), "prefix")
+    both = rest.select("token", "id", "n").join(tails, "id").select("token", "id", "n", F.explode("prefix").alias("second")).filter("second <> token")
+    return both.select(F.xxhash64("token", "second").alias("token"), "id", "n", F.lit(1).alias("matches"))
+
+
 def _by_difference(compared: DataFrame, stars: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs under one leader c that can be linked though one of them isn't linked to it.
 
@@ -202,7 +212,7 @@ def _by_difference(compared: DataFrame, stars: DataFrame, num: int, den: int) ->
     differences must reach the bound. Documents that stars already connect are left out."""
     both = num + den
     tag = lambda c, t: F.transform(c, lambda h: F.struct(F.lit(t).alias("tag"), h.alias("token")))
-    d = compared.filter(F.size("lacks") + F.size("adds") > 0).join(_small(stars, BROADCAST_ROWS if stars.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else BROADCAST_ROWS + 1), "id", "left")
+    d = compared.filter(F.size("lacks") + F.size("adds") > 0).join(_small(stars, stars.count()), "id", "left")
     d = d.select("hub", "id", F.coalesce("component_id", "id").alias("top"), "linked", ((den - num) * F.col("hub_n")).alias("k"), (den * F.size("lacks") + num * F.size("adds")).cast("long").alias("w"), F.concat(tag("adds", 0), tag("lacks", 1)).alias("d"))
 
     def side(rows: DataFrame, need: str, name: str) -> DataFrame:
@@ -230,49 +240,60 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(sketch(docs, width)))  # 2**SKETCH_BITS bytes
     table = common.materialise(describe(docs, classes, width, num, den), "sets")
     known = table.filter("n > 0 and doc_id is not null")
-    reps = common.materialise(known.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    sets = known.join(_small(reps.select(F.col("rep").alias("doc_id"), "key"), reps.count()), ["doc_id", "key"], "left_semi")
-    postings = sets.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"), "n", "matches", "rarity")
+    copies = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    copies = common.materialise(copies, "copies", light=True)
+    copies = _small(copies, copies.count())
+    sets = known.join(copies, "key", "left").filter("rep is null or rep = doc_id")
+    postings = sets.select(F.explode(F.slice("prefix", F.lit(1), F.col("length"))).alias("token"), F.col("doc_id").alias("id"), "n", "matches", "rarity")
     buckets = postings.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("rarity", "id", "n")).alias("lead")).filter("docs > 1")
     met = postings.join(buckets, "token").select("token", "id", "n", "matches", "rarity", "docs", F.col("lead.id").alias("hub"), F.col("lead.n").alias("hub_n"))
     met = common.materialise(met, "buckets")
     plain = ["token", "id", "n", "matches"]
-    small = common.materialise(_direct(met.filter(f"docs <= {SMALL}").select(*plain), num, den), "direct")
+    small = common.materialise(_direct(met.filter(f"docs <= {SMALL}").select(*plain), num, den), "direct", light=True)
     best = small.groupBy("id").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub")).select("hub", "id")
-    rest, tables, far = met.filter(f"docs > {SMALL}"), [], []
+    rest, tables, far, held = met.filter(f"docs > {SMALL}"), [], [], []
     limit = NEAR + 1 - num / den
     for k in range(ROUNDS):
         # Sizes alone put a document beyond the reach of all that is near the leader.
         reach = F.least("n", "hub_n") >= (1 - limit) * F.greatest("n", "hub_n")
-        ask = rest.filter(reach & (F.col("hub") != F.col("id"))).select("hub", "id").distinct()
-        done = compare(ask if k else ask.union(best).distinct(), docs, classes, width, num, den, True)
+        ask = rest.filter(reach & (F.col("hub") != F.col("id"))).select("hub", "id")
+        done = compare(ask if k else ask.union(best), docs, classes, width, num, den, True)
         tables.append(done)
-        seen = done.select("hub", "id", "linked", "distance")
-        left = rest.filter("hub <> id").join(_small(seen, seen.count()), ["hub", "id"], "left").filter("not coalesce(linked, false)")
-        left = left.withColumn("far", F.coalesce(F.col("distance") > NEAR, F.lit(True))).drop("hub", "hub_n", "docs", "linked", "distance")
-        if k:
-            left = left.withColumn("far", F.col("far") & F.col("was_far")).drop("was_far")
-        left = common.materialise(left.withColumnRenamed("far", "was_far"), "left")
+        # What is near the leader meets all that it can be linked with in the index of differences. The rest meets again.
+        seen = done.select("hub", "id", "distance")
+        left = rest.filter("hub <> id").join(_small(seen, seen.count()), ["hub", "id"], "left").filter(f"coalesce(distance > {NEAR}, true)")
+        left = common.materialise(left.select(*plain, "rarity"), "left", light=True)
+        held.append(left)
+        if left.isEmpty():
+            rest = left
+            break
         again = left.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("rarity", "id", "n")).alias("lead")).filter("docs > 1")
-        rest = common.materialise(left.join(again, "token").withColumns({"hub": F.col("lead.id"), "hub_n": F.col("lead.n")}).drop("lead"), "buckets")
-        far.append(rest.filter(f"was_far and docs <= {SMALL}").select(*plain))
+        rest = common.materialise(left.join(again, "token").withColumns({"hub": F.col("lead.id"), "hub_n": F.col("lead.n")}).drop("lead"), "buckets", light=True)
+        held.append(rest)
+        far.append(rest.filter(f"docs <= {SMALL}").select(*plain))
         rest = rest.filter(f"docs > {SMALL}")
         if rest.isEmpty():
             break
-    far.append(rest.filter("was_far").select(*plain))
 
-    links = [t.filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")) for t in tables]
-    stars = common.materialise(components(_union(links)), "stars")
+    compared = _union(tables)
+    stars = components(compared.filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")))
     # A pair's shared shingles may lie in small buckets and in ones that became so: its count is over both.
-    counted = _direct(_union([met.filter(f"docs <= {SMALL}").select(*plain), *far]), num, den).select("hub", "id")
-    ask = counted.union(_union([_by_difference(t, stars, num, den) for t in tables])).distinct()
+    counted = small
+    if not all(f.isEmpty() for f in far):
+        counted = common.materialise(_direct(_union([met.filter(f"docs <= {SMALL}").select(*plain), *far]), num, den), "counted", light=True)
+    asked = [counted.select("hub", "id"), common.materialise(_by_difference(compared, stars, num, den), "differing", light=True)]
+    if not rest.isEmpty():
+        asked.append(common.materialise(_direct(_refined(rest, sets), num, den).select("hub", "id"), "refined", light=True))
     mine, other = stars.select(F.col("id").alias("hub"), F.col("component_id").alias("ca")), stars.select("id", F.col("component_id").alias("cb"))
-    ask = ask.join(mine, "hub", "left").join(other, "id", "left").filter("coalesce(ca, hub) <> coalesce(cb, id)").select("hub", "id")
-    links.append(compare(ask, docs, classes, width, num, den, False).filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    found = common.materialise(components(_union(links)), "components")
-    reached = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
-    out = table.select("doc_id", F.col("n").alias("n_shingles"), "key").join(reached, "key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    n_stars = stars.count()
+    ask = _union(asked).join(_small(mine, n_stars), "hub", "left").join(_small(other, n_stars), "id", "left").filter("coalesce(ca, hub) <> coalesce(cb, id)").select("hub", "id")
+    last = compare(ask, docs, classes, width, num, den, False)
+    found = components(_union([stars.select(F.col("component_id").alias("a"), F.col("id").alias("b")), last.filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))]))
+    common.discard(met, small, counted, *held, *tables, *asked, stars, last)
+    classes.destroy()
+    out = table.join(copies, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("id"))
+    out = out.join(_small(found, found.count()), "id", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -285,11 +306,12 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 def one_per_component(docs: DataFrame, **options) -> DataFrame:
     """Of each component of jaccard_components the document with the smallest id; all columns. Rows without an id stay, of rows with one id the first by text."""
     found = common.materialise(jaccard_components(docs, **options).select("doc_id", "component_id"), "kept")
-    stay = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    repeated = stay.filter("n > 1").limit(1).count() > 0
-    ids = stay.select(F.col("doc_id").alias("_id"))
-    kept = docs.join(_small(ids, found.count()), docs["doc_id"].cast("long") == F.col("_id"), "left_semi")
+    go = common.materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    repeated = not found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    common.discard(found)
+    kept = docs.join(_small(go, go.count()), docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
     if repeated:
         rest = [c for c in docs.columns if c != "doc_id"]
-        kept = kept.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.coalesce("text", F.lit(""))).alias("_r")).select("doc_id", "_r.*").select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id is null"))
+        one = kept.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.coalesce("text", F.lit(""))).alias("_r")).select("doc_id", "_r.*").select(*docs.columns)
+        kept = one.unionByName(kept.filter("doc_id is null"))
+    return kept

@@ -120,3 +120,19 @@ def test_hashed_words_are_those_of_a_plain_split(monkeypatch):
         for w, h in zip(words, hashes):
             assert seen.setdefault(w, h) == h
     assert len(set(seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize("width,num,den", [(3, 9, 10), (5, 8, 10)])
+def test_buckets_that_leaders_do_not_empty(spark, width, num, den):
+    """Texts of four words share every shingle with many that they don't resemble."""
+    rng = np.random.default_rng(width)
+    word = lambda: f"w{rng.integers(4)}"
+    texts = []
+    for _ in range(250):
+        texts.append([word() for _ in range(int(rng.integers(8, 40)))])
+        if rng.random() < 0.4:
+            near = list(texts[-1])
+            near[rng.integers(len(near))] = word()
+            texts.append(near)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert run(spark, rows, width, num, den) == brute(rows, width, num, den)
