@@ -23,6 +23,8 @@ IDENTITY_TERMS = {
 }
 LANGUAGE_OF = {w: lang for lang, terms in reversed(IDENTITY_TERMS.items()) for w in terms}
 
+#: Identity terms put into each labelled text that the classifier is fitted on, beside the swaps of those that it has.
+N_INSERTED = 2
 #: Rows that the classifier is fitted on at most: those with the smallest hashes of their ids.
 MAX_TRAIN = 8000
 HASH_BITS = 20
@@ -73,12 +75,28 @@ def swaps(words: set[str], cache: WordFeatures, n_swaps: int = 3) -> list[tuple[
     return out
 
 
+def insertions(words: set[str], cache: WordFeatures, seed: int, n: int = N_INSERTED) -> list[tuple[list[int], list[int]]]:
+    """(features gained, features lost) when identity terms are put into a sentence that may have none, and then swapped for their neighbours.
+
+    The terms are drawn by the seed, so a text has the same ones on every run. A score should move for neither."""
+    rng = np.random.default_rng(seed)
+    before = features(words, cache)
+    out = []
+    for _ in range(n):
+        peers = IDENTITY_TERMS[sorted(IDENTITY_TERMS)[rng.integers(len(IDENTITY_TERMS))]]
+        at = int(rng.integers(len(peers)))
+        one, other = (features(words | {peers[k % len(peers)]}, cache) for k in (at, at + 1 + int(rng.integers(len(peers) - 1))))
+        out += [(sorted(one - before), []), (sorted(other - one), sorted(one - other))]
+    return out
+
+
 @dataclass
 class Model:
-    """weights by feature id; a text's score is the logistic of bias plus the weights of its distinct features."""
+    """weights by feature id; a text's score is the logistic of bias plus the weights of its distinct features. pairs: how many changes were penalised."""
 
     bias: float
     weights: dict[int, float] = field(default_factory=dict)
+    pairs: int = 0
 
     def scorer(self):
         cache = WordFeatures(frozenset(self.weights))
@@ -91,13 +109,10 @@ class Model:
 
 
 class Sparse:
-    """Rows of (column, value) pairs with the two products that fitting needs."""
+    """A matrix of (row, column, value) with the two products that fitting needs."""
 
-    def __init__(self, rows: list[tuple[list[int], list[float]]], n_cols: int):
-        self.n_rows, self.n_cols = len(rows), n_cols
-        self.row = np.repeat(np.arange(len(rows)), [len(c) for c, _ in rows])
-        self.col = np.array([i for c, _ in rows for i in c], dtype=np.int64)
-        self.val = np.array([v for _, x in rows for v in x], dtype=np.float64)
+    def __init__(self, row: np.ndarray, col: np.ndarray, val: np.ndarray, n_rows: int, n_cols: int):
+        self.row, self.col, self.val, self.n_rows, self.n_cols = row, col, val, n_rows, n_cols
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=self.val * w[self.col], minlength=self.n_rows)
@@ -106,33 +121,42 @@ class Sparse:
         return np.bincount(self.col, weights=self.val * r[self.row], minlength=self.n_cols)
 
 
-def fit(x: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], l1: float = 4e-4, counterfactual: float = 1.0, steps: int = 400) -> Model:
-    """Accelerated proximal gradient on mean logistic loss + l1 |w| + counterfactual * mean (w . change)^2.
+def _flat(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, entries) of ragged rows."""
+    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([np.asarray(r, dtype=np.int64) for r in rows]) if rows else np.empty(0, dtype=np.int64)
+
 
-    Features seen in fewer than three rows, or as often as chance has it, are left out first."""
+def fit(x: list, y: np.ndarray, pairs: list[tuple[list[int], list[int]]], l1: float = 4e-4, counterfactual: float = 1.0, steps: int = 400) -> Model:
+    """Accelerated proximal gradient on mean logistic loss + l1 |w| + counterfactual * mean (w . change)^2 over the pairs.
+
+    Features seen in fewer than three rows, or as often as chance has it, are left out first, but for those of identity terms."""
     y = np.asarray(y, dtype=np.float64)
     n, pos = len(y), float(np.sum(y))
     prior = (pos + 0.5) / (n + 1.0)
     if n == 0 or pos in (0.0, float(n)):
         return Model(float(np.log(prior / (1 - prior))))
-    flat = np.fromiter((i for r in x for i in r), dtype=np.int64)
-    of = np.repeat(y, [len(r) for r in x])
+    row, flat = _flat(x)
     size = 1 << HASH_BITS
-    df, dpos = np.bincount(flat, minlength=size), np.bincount(flat, weights=of, minlength=size)
+    df, dpos = np.bincount(flat, minlength=size), np.bincount(flat, weights=y[row], minlength=size)
     expected = df * pos / n
     z = (dpos - expected) / np.sqrt(np.maximum(expected * (1 - pos / n), 1e-9))
-    identity = {i for w in LANGUAGE_OF for i in word_features(w)}
-    keep = np.flatnonzero((df >= 3) & (np.abs(z) >= 2.5))
-    keep = np.union1d(keep, np.array([i for i in sorted(identity) if df[i] > 0], dtype=np.int64))
-    if not len(keep):
-        return Model(float(np.log(prior / (1 - prior))))
+    identity = sorted({i for w in LANGUAGE_OF for i in word_features(w)})
+    keep = np.union1d(np.flatnonzero((df >= 3) & (np.abs(z) >= 2.5)), np.array(identity, dtype=np.int64))
     number = np.full(size, -1, dtype=np.int64)
     number[keep] = np.arange(len(keep))
     m = len(keep)  # the bias is column m
-    rows = [([*(int(number[i]) for i in r if number[i] >= 0), m], None) for r in x]
-    data = Sparse([(c, [1.0] * len(c)) for c, _ in rows], m + 1)
-    change = [([*(int(number[i]) for i in up if number[i] >= 0), *(int(number[i]) for i in down if number[i] >= 0)], [1.0] * sum(number[i] >= 0 for i in up) + [-1.0] * sum(number[i] >= 0 for i in down)) for up, down in pairs]
-    swap = Sparse(change, m + 1) if change else None
+
+    def numbered(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        at, ids = _flat(rows)
+        kept = number[ids] >= 0
+        return at[kept], number[ids[kept]]
+
+    used = number[flat] >= 0
+    data = Sparse(np.concatenate([row[used], np.arange(n)]), np.concatenate([number[flat[used]], np.full(n, m)]), np.ones(int(used.sum()) + n), n, m + 1)
+    swap = None
+    if pairs:
+        (up_row, up), (down_row, down) = numbered([u for u, _ in pairs]), numbered([d for _, d in pairs])
+        swap = Sparse(np.concatenate([up_row, down_row]), np.concatenate([up, down]), np.concatenate([np.ones(len(up)), -np.ones(len(down))]), len(pairs), m + 1)
 
     def gradient(w: np.ndarray) -> np.ndarray:
         g = data.tdot(common.sigmoid(data.dot(w)) - y) / n
@@ -160,31 +184,34 @@ def fit(x: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int
             ahead = new + (t - 1) / t_new * (new - w)
         w, t = new, t_new
     used = np.flatnonzero(np.abs(w[:m]) > 1e-9)
-    return Model(float(w[m]), {int(keep[i]): float(w[i]) for i in used})
+    return Model(float(w[m]), {int(keep[i]): float(w[i]) for i in used}, len(pairs))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, **options) -> Model:
     """Fit on at most max_train labelled documents. docs: doc_id, text; labels: doc_id, toxic.
 
-    Null labels, ids and texts teach nothing; of contradicting labels of one document the toxic one counts."""
+    Null labels, ids and texts teach nothing; of contradicting labels of one document the toxic one counts, of several texts of one id the
+    first in order. Identity terms are swapped where a text has them, and put into every text that is fitted on, so there are pairs on any corpus."""
     spark = docs.sparkSession
-    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
+    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).collect()
     sample = F.broadcast(spark.createDataFrame(chosen, known.schema))  # at most max_train pairs of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordFeatures()
-        for batch in batches:
+        for batch in common.portions(batches, 500):
             words = [words_of(t) for t in batch.column("text").to_pylist()]
-            cf = [swaps(w, cache) for w in words]
+            changes = [swaps(w, cache) + insertions(w, cache, xxhash.xxh3_64_intdigest(str(i))) for w, i in zip(words, batch.column("doc_id").to_pylist())]
+            ids, nested = pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_toxic"), pa.array([sorted(features(w, cache)) for w in words], pa.list_(pa.int32())), pa.array([[a for a, _ in c] for c in cf], pa.list_(pa.list_(pa.int32()))), pa.array([[b for _, b in c] for c in cf], pa.list_(pa.list_(pa.int32())))],
-                names=["toxic", "ids", "up", "down"],
+                [batch.column("doc_id").cast(pa.string()), batch.column("toxic").cast(pa.int32()), pa.array([sorted(features(w, cache)) for w in words], ids), pa.array([[a for a, _ in c] for c in changes], nested), pa.array([[b for _, b in c] for c in changes], nested)],
+                names=["doc_id", "toxic", "ids", "up", "down"],
             )
 
-    rows = docs.select("doc_id", "text").filter("text is not null").join(sample, "doc_id").select("_toxic", "text").mapInArrow(run, "toxic int, ids array<int>, up array<array<int>>, down array<array<int>>")
-    got = rows.limit(2 * max_train).toArrow()
-    ids, up, down = (got.column(c).to_pylist() for c in ("ids", "up", "down"))
+    rows = docs.select("doc_id", "text").filter("text is not null").join(sample, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    got = rows.mapInArrow(run, "doc_id string, toxic int, ids array<int>, up array<array<int>>, down array<array<int>>").toArrow().sort_by("doc_id")
+    ids = [x for c in got.column("ids").chunks for x in np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1])] if got.num_rows else []
+    up, down = (got.column(c).to_pylist() for c in ("up", "down"))
     return fit(ids, np.array(got.column("toxic").to_pylist(), dtype=np.float64), [(a, b) for p, q in zip(up, down) for a, b in zip(p, q)], **options)
 
 

@@ -63,3 +63,27 @@ def test_without_labels_there_is_only_a_prior(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score(docs, toxicity.train(docs, none)).first().toxic_score == 0.5
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), none)).count() == 0
+
+
+def test_penalty_has_pairs_on_documents(spark):
+    """Texts that name no group still give pairs, and with the penalty a group put into a text moves its score less."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.filter("toxic is not null").count()
+    fair, plain = (toxicity.train(docs, labels, counterfactual=c) for c in (1.0, 0.0))
+    assert fair.pairs >= 2 * known > 0
+    texts = [r.text for r in docs.select("text").limit(60).collect()]
+
+    def gap(model):
+        score = model.scorer()
+        return np.mean([abs(score(f"{t} {term}") - score(t)) for t in texts for term in toxicity.LANGUAGE_OF])
+
+    assert gap(fair) < 0.5 * gap(plain)
+
+
+def test_long_texts_and_contradicting_labels(spark):
+    rows = [(i, ("foul " if i % 3 == 0 else "fine ") * (50_000 if i < 2 else 5), 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")  # a column of that name is no label
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(0, 0), (3, 0)], "doc_id long, toxic int")
+    out = {r.doc_id: r.toxic_score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert all((out[i] >= 0.5) == (i % 3 == 0) for i in range(60))
