@@ -28,6 +28,8 @@ DROP_STEMS = ("comment", "cookie", "advert", "sidebar", "breadcrumb", "newslette
 #: Of an <article> only these say that it isn't the page's own; and a header with one of the latter is the article's.
 NOT_ITS_OWN = ("comment", "repl", "related", "recommend", "teaser", "sidebar", "promo")
 OWN_HEADER = frozenset("article post entry story content section title".split())
+#: What is no text of the page, whatever its density.
+NEVER = frozenset("head script style noscript template iframe svg canvas button select input textarea".split())
 #: Elements that may hold the page's text after all: the first have only their controls dropped where they hold its article, main part or title.
 FORMS = frozenset("form object".split())
 CONTAINERS = FORMS | frozenset("aside dialog menu".split())
@@ -39,7 +41,8 @@ COMMENTS = ("comment", "repl", "respond", "disqus")
 SHARE, SHARE_NAMED = 0.5, 0.9
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+#: A tag whose last quote is never closed ends at the next >.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|([^>]*)(?:>|$))", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -80,7 +83,7 @@ def parse(page: str) -> Node:
         if tag in SIBLING:
             names, inside = SIBLING[tag]
             here = _close(here, set(names.split()), inside)
-        node = Node(tag, m[3] or "", here)
+        node = Node(tag, m[3] or m[4] or "", here)
         here.parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
@@ -88,7 +91,7 @@ def parse(page: str) -> Node:
                 node.parts.append(html.unescape(page[at : end.start()]))
             close = page.find(">", end.start()) if end else -1
             at = close + 1 if close >= 0 else len(page)
-        elif tag not in VOID and not (m[3] or "").endswith("/"):
+        elif tag not in VOID and not (m[3] or m[4] or "").endswith("/"):
             here = node
     if at < len(page):
         here.parts.append(html.unescape(page[at:]))
@@ -126,6 +129,11 @@ def _named(words: list[str], node: Node) -> float:
     return worst
 
 
+def _hidden(node: Node) -> bool:
+    attrs = {name.lower(): value.strip("\"'").lower() for name, value in _ATTR.findall(node.attrs)}
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")) is not None
+
+
 def _dropped(node: Node, holds: bool) -> float:
     """What share of the page's text saves an element that isn't the article's: 2 if none does, 0 if it stays anyhow.
 
@@ -150,17 +158,15 @@ def _dropped(node: Node, holds: bool) -> float:
                 worst = max(worst, _named(words, node))
         if name == "role" and value.lower() in DROP_ROLES and not holds:
             worst = max(worst, SHARE if value.lower() == "form" else 2.0)
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return 2.0
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return 2.0
+    if _hidden(node):
+        return 2.0
     return worst
 
 
-def _prune(root: Node) -> None:
-    """Take out what is dropped, innermost first, so that a comment's <article> doesn't save the list of comments.
+def _marked(root: Node) -> dict[int, float]:
+    """By id the elements that tags, roles and names say are not the article's, innermost first, so that a comment's <article> doesn't save the list of comments.
 
-    Without an <article> or <main> that stays, elements dropped only by form or name come back where they have most of the text."""
+    Without an <article> or <main> that stays, elements marked only by form or name are cleared where they have most of the text."""
     order, todo = [], [(root, False, False)]
     linked: set[int] = set()
     labels: set[int] = set()
@@ -187,8 +193,16 @@ def _prune(root: Node) -> None:
         if share:
             gone[id(n)] = share
     _bring_back(order, gone, chars)
-    for n in order:
-        n.parts = [p for p in n.parts if not isinstance(p, Node) or id(p) not in gone]
+    return gone
+
+
+def _without(root: Node, cut) -> None:
+    """Take out the elements that cut() says."""
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        n.parts = [p for p in n.parts if not isinstance(p, Node) or not cut(p)]
+        todo.extend(p for p in n.parts if isinstance(p, Node))
 
 
 def _bring_back(order: list[Node], gone: dict[int, float], chars: dict[int, int]) -> None:
@@ -274,13 +288,15 @@ def _blocks(nodes: list) -> list[str]:
 def extract(page: str | None) -> str:
     """The page's main text: blocks joined by line feeds; empty where there is none.
 
-    Elements that by tag, role or name are menus, adverts, forms and the like go first, unless the page's text stands in them. Of the rest, the block with the largest
-    sum of its children's densities is the article's; the lowest density on its path to the body is the threshold by
-    which blocks beside that path belong to the article too. An <article> or <main> around it is taken as a whole."""
+    Densities are those of the page without what never is text (scripts, controls, hidden elements); its menus, notices and comments count.
+    Of the blocks that aren't marked as such by tag, role or name, the one with the largest sum of its children's densities is the
+    article's, with the <article> or <main> around it. Else the lowest density on the path from it to the body is the threshold by which
+    blocks beside that path belong to the article too. Marks have no other say but within what density has chosen."""
     if not page:
         return ""
     root = parse(page)
-    _prune(root)
+    gone = _marked(root)
+    _without(root, lambda n: n.tag in NEVER or id(n) in gone and _hidden(n))
     blocks = _measure(root)
     body = next((n for n in blocks if n.tag == "body"), root)
     if not root.chars:
@@ -298,15 +314,24 @@ def extract(page: str | None) -> str:
             else:
                 todo.extend(p.parts)
         n.total += _density(own, 1, 0, 0, body) if own and n.link_chars * 2 <= n.chars else 0.0
-    best = max(blocks, key=lambda n: n.total)
+    out: set[int] = set()  # what stands in marked elements; blocks come parents first, inline elements among them don't
+    order = [root]
+    for n in order:
+        if id(n) in gone or id(n.parent) in out:
+            out.add(id(n))
+        order.extend(p for p in n.parts if isinstance(p, Node))
+    best = max((n for n in blocks if id(n) not in out), key=lambda n: n.total, default=None)
+    if best is None:
+        return ""
     path, n = [], best
     while n is not None:
         path.append(n)
         n = n.parent
-    for n in path[::-1]:
-        if n.tag in ("article", "main"):
-            return "\n".join(_blocks([n]))
     threshold = min(n.density for n in path if n.tag in BLOCK and n.density > 0) if best.density > 0 else 0.0
+    whole = next((n for n in path[::-1] if n.tag in ("article", "main")), best)
+    _without(root, lambda n: id(n) in gone)
+    if whole is not best or whole.tag in ("article", "main"):
+        return "\n".join(_blocks([whole]))
     on_path = set(map(id, path))
     taken: list = []
 

@@ -89,3 +89,24 @@ def test_what_holds_the_text_stays(page, text):
 def test_what_has_less_of_the_text_or_is_comments_goes(aside):
     assert h.extract(f"<body><div class='story'><p>{LONG}</p><p>{LONG}</p></div>{aside}</body>") == f"{LONG}\n{LONG}"
     assert h.extract(f"<body><main><p>Short.</p></main>{aside}</body>") == "Short."
+
+
+def test_a_quote_that_is_never_closed():
+    assert h.extract('<p>first para is here<p class="x>second') == "first para is here\nsecond"
+    assert h.extract("<article><p title='it>one</p><p>two</p></article>") == "one\ntwo"
+
+
+NEUTRAL = f"""<body><div class="a1"><div class="b1">{"".join(f'<div><a href="/{i}">Place {i} to go</a></div>' for i in range(12))}</div>
+    <div class="b2"><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div class="b3">{"".join(f'<div><span>user{i}</span> <a href="/u{i}">reply</a> <p>Yes.</p></div>' for i in range(15))}</div></div></body>"""
+
+
+def test_density_decides_where_names_say_nothing(monkeypatch):
+    """Neither an article nor a telling name: menus and comments are told by their tags and links alone."""
+    assert h.extract(NEUTRAL) == f"{LONG}\n{LONG}\n{LONG}"
+    monkeypatch.setattr(h, "_density", lambda chars, tags, link_chars, links, body: float(chars > 0))
+    assert h.extract(NEUTRAL) != f"{LONG}\n{LONG}\n{LONG}"
+
+
+def test_density_chooses_among_articles():
+    teasers = "".join(f"<article><h3><a href='/{i}'>Teaser {i}</a></h3><p>A line.</p></article>" for i in range(9))
+    assert h.extract(f"<body><div>{teasers}</div><article><h1>T</h1><p>{LONG}</p><p>{LONG}</p></article></body>") == f"T\n{LONG}\n{LONG}"
