@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Tokens in a template window. A shorter item is one window of its own length, down to SHORTEST; below that it says too little.
+#: Tokens in a template window. A shorter item is one window of its own length. One of under SHORTEST tokens is found only as a whole document, with its own fillings.
 WINDOW, SHORTEST = 8, 4
 #: A document leaks an item if it holds at least this share of its windows, or this many.
 COVERAGE, ENOUGH = 0.5, 8
@@ -21,27 +22,40 @@ CONSISTENT = 0.8
 #: Hashes of benchmark windows that may be broadcast (8 MB); with more, all windows of the documents are shuffled.
 BROADCAST_WINDOWS = 1_000_000
 
-#: Units of measure, and given names that may begin a sentence.
+#: Units of measure, given names that may begin a sentence, and words that tell a German sentence, whose nouns are capitalised.
 UNITS = frozenset(
     "mm cm m km inch inches foot feet yard yards mile miles g kg mg lb lbs pound pounds oz ounce ounces ton tons tonne tonnes l ml litre litres liter liters gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars cent cents euro euros usd eur gbp degree degrees celsius fahrenheit watt watts volt volts joule joules hertz hz kb mb gb tb".split()
 )
 NAMES = frozenset(
     "alice bob carol dave eve john mary james anna emma liam noah olivia peter paul maria jose juan ana luis carlos sofia lucas hugo marie pierre jean claire julie hans karl anna lena max moritz tom jerry sam sarah emily david michael daniel laura kate jack amy mark lisa sally jim janet".split()
 )
+GERMAN = frozenset("der das und ist nicht ein eine einen einem einer dem auf für wie viele sich sind wird werden aus bei vom zum zur".split())
 _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?\n]")
 
 
+def _german(tokens: list[str], start: int) -> bool:
+    """If the sentence that starts there has a word that only German has."""
+    for tok in itertools.islice(tokens, start, None):
+        if tok in ".!?\n":
+            return False
+        if tok.lower() in GERMAN:
+            return True
+    return False
+
+
 def canonical(text: str | None) -> tuple[list[str], list[tuple[int, str]]]:
     """(tokens, slots): words lower-cased, with \\x01n, \\x01e and \\x01u where numbers, names and units stand.
 
-    slots lists (token position, filling). A run of capitalised words inside a sentence is one name; a word that begins a sentence is a
-    name if it is a known one. A unit is a unit only after a number."""
+    slots lists (token position, filling). A run of capitalised words inside a sentence is one name; a word that begins a sentence, or stands in
+    a German one, is a name if it is a known one. A unit is a unit only after a number."""
     out: list[str] = []
     slots: list[tuple[int, str]] = []
     begins = True
-    for tok in _TOKEN.findall(text or ""):
+    tokens = _TOKEN.findall(text or "")
+    start, german = 0, None  # of the sentence; german: as far as anyone has asked
+    for at, tok in enumerate(tokens):
         if tok in ".!?\n":
-            begins = True
+            begins, start, german = True, at + 1, None
             continue
         low = tok.lower()
         if tok[0].isdigit():
@@ -50,7 +64,7 @@ def canonical(text: str | None) -> tuple[list[str], list[tuple[int, str]]]:
         elif low in UNITS and out and out[-1] == "\x01n":
             slots.append((len(out), low))
             out.append("\x01u")
-        elif tok[0].isupper() and not tok.isupper() and (not begins or low in NAMES):
+        elif tok[0].isupper() and not tok.isupper() and (low in NAMES or not begins and not (german := _german(tokens, start) if german is None else german)):
             if out and out[-1] == "\x01e" and not begins:
                 slots[-1] = (slots[-1][0], slots[-1][1] + " " + low)
             else:
@@ -63,8 +77,12 @@ def canonical(text: str | None) -> tuple[list[str], list[tuple[int, str]]]:
 
 
 def windows(text: str | None, cache: common.WordHashes, lengths: tuple[int, ...]) -> list[tuple[np.ndarray, int]]:
-    """[(hashes of all windows, their length)] of a text's template, and the template's slots in the third place."""
+    """[(hashes of all windows, their length)] of a text's template, and its slots. A text of under SHORTEST tokens is one window, of its fillings too."""
     tokens, slots = canonical(text)
+    if 0 < len(tokens) < SHORTEST:
+        tokens = [*tokens, *(f for _, f in slots)]
+        h = np.array([cache[t.encode()] for t in tokens], dtype=np.int64).view(np.uint64)
+        return [(common.rolling(h, len(h)), len(h) - len(slots))], []
     h = np.fromiter((cache[t.encode()] for t in tokens), dtype=np.int64, count=len(tokens)).view(np.uint64)
     return [(common.rolling(h, n), n) for n in lengths if len(h) >= n], slots
 
@@ -105,10 +123,12 @@ def _table(df: DataFrame, key: str, lengths: tuple[int, ...], only: np.ndarray |
 
 
 def _agreement(met: DataFrame, by: list[str]) -> DataFrame:
-    """by, agreement: the share of slot fillings that map each filling of the item to its most frequent one; no row without slots."""
+    """by, agreement: the share of slot fillings that map each filling of one side to the other side's most frequent one for it, in the
+    direction in which that is less; no row without slots."""
     pairs = met.filter(F.size("fillings") > 0).select(*by, F.explode(F.arrays_zip("fillings", "theirs")).alias("s")).groupBy(*by, "s.fillings", "s.theirs").agg(F.count(F.lit(1)).alias("n"))
-    each = pairs.groupBy(*by, "fillings").agg(F.max("n").alias("top"), F.sum("n").alias("n"))
-    return each.groupBy(*by).agg((F.sum("top") / F.sum("n")).alias("agreement"))
+    sides = pairs.select(*by, "n", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("fillings").alias("filling")), F.struct(F.lit(1).alias("side"), F.col("theirs").alias("filling")))))
+    each = sides.groupBy(*by, "side", "filling").agg(F.max("n").alias("top"), F.sum("n").alias("n"))
+    return each.groupBy(*by, "side").agg((F.sum("top") / F.sum("n")).alias("agreement")).groupBy(*by).agg(F.min("agreement").alias("agreement"))
 
 
 def _covered(met: DataFrame, by: list[str]) -> DataFrame:
@@ -140,7 +160,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item it leaks: doc_id, item_id, matched, windows, coverage, agreement.
 
     docs: doc_id, text; benchmark: item_id, text. matched counts the item's different windows that the document has; agreement is the share of
-    slot fillings that map each filling of the item to one of the document, 1 without slots. Where the whole document's fillings don't
+    slot fillings that map each filling of the item to one of the document and back, 1 without slots. An item of under SHORTEST tokens leaks into a document
+    that says just that. Where the whole document's fillings don't
     agree, as other questions of the same template stand in it, both are those of the single occurrence that agrees best. Null and empty texts leak
     nothing; null ids are left out; repeated rows of one id count as one document; empty tables give an empty result."""
     spark = docs.sparkSession

@@ -35,6 +35,8 @@ def brute(docs, items):
             u, v = decontam.canonical(item)
             n = min(8, len(u))
             if n < 4:
+                if 0 < n and (t, [f for _, f in s]) == (u, [f for _, f in v]):
+                    out.add((d, i))
                 continue
             fill = lambda slots, at: tuple(f for p, f in slots if at <= p < at + n)
             theirs = {}
@@ -49,8 +51,12 @@ def brute(docs, items):
                     for a, b in zip(fill(v, at), their):
                         votes.setdefault(a, {}).setdefault(b, 0)
                         votes[a][b] += 1
+            back = {}
+            for a, x in votes.items():
+                for b, k in x.items():
+                    back.setdefault(b, {})[a] = k
             total = sum(sum(x.values()) for x in votes.values())
-            if not total or sum(max(x.values()) for x in votes.values()) / total >= 0.8:
+            if not total or min(sum(max(x.values()) for x in side.values()) for side in (votes, back)) / total >= 0.8:
                 out.add((d, i))
     return out
 
@@ -104,3 +110,22 @@ def test_one_consistent_occurrence_is_a_leak_whatever_else_has_its_template(spar
     got = found(spark, docs, [(10, ITEM), (11, variant(70)), (12, sevens)])
     assert set(got) == {(d, i) for d in (1, 2, 3) for i in (10, 11)} | {(5, 12)}
     assert got[1, 10].agreement == got[1, 11].agreement == got[2, 10].agreement == 1.0
+
+
+def test_two_fillings_that_become_one_do_not_agree(spark):
+    item = "Alice has 3 apples and Bob has 5 pears, so Alice gives 3 and Bob gives 5 away."
+    same = item.replace("Alice", "Carol").replace("Bob", "Carol").replace("3", "7").replace("5", "7")
+    other = item.replace("Alice", "Carol").replace("Bob", "Dave").replace("3", "7").replace("5", "9")
+    got = found(spark, [(1, same), (2, other)], [(10, item)])
+    assert (1, 10) not in got and got[2, 10].agreement == 1.0
+
+
+def test_short_items_are_found_as_whole_documents(spark):
+    got = found(spark, [(1, "Two plus two"), (2, "what is two plus two or more"), (3, "7 plus 2"), (4, "7 plus 3"), (5, "two"), (6, None)], [(10, "two plus two"), (11, "7 plus 2"), (12, "Two."), (13, "")])
+    assert set(got) == {(1, 10), (3, 11), (5, 12)}
+
+
+def test_german_nouns_are_no_names():
+    tokens, slots = decontam.canonical("Der Mann kauft der Frau 3 Brote und ein Glas Wasser. Wie viel zahlt Anna?")
+    assert slots == [(5, "3"), (14, "anna")] and tokens[:3] == ["der", "mann", "kauft"]
+    assert decontam.canonical("The man meets Smith at noon.")[1] == [(3, "smith")]
