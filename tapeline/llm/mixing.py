@@ -14,6 +14,8 @@ from . import common
 #: Mean number of documents in a bucket of the permuted line, the unit in which prefix sums are taken.
 BUCKET_DOCS = 4096
 WEIGHTS = (5, 2, 1)
+#: Most blocks of a mix; one of more words has longer blocks, so that every draw of the tree is exact.
+MAX_BLOCKS = 1 << 29
 MAX_EPOCHS = 3
 
 
@@ -52,18 +54,8 @@ def split_quotas(quotas: np.ndarray, n_shards: int, rng: np.random.Generator) ->
 
 
 def draw(have: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """One multivariate hypergeometric draw; totals too large for the sampler are halved by their means first."""
-    if have.sum() < 900_000_000:
-        return rng.multivariate_hypergeometric(have, n, method="marginals")
-    sure = (have * (n / have.sum())).astype(np.int64) // 2
-    scale = max(1, int(have.sum() // 500_000_000))
-    some = rng.multivariate_hypergeometric(have // scale, min(n // scale, int((have // scale).sum())), method="marginals") * scale
-    left = np.clip(np.maximum(some, sure), 0, have)
-    while (gap := n - int(left.sum())) != 0:  # the few blocks that scaling has left over
-        room = have - left if gap > 0 else left
-        i = int(np.argmax(room))
-        left[i] += int(np.clip(gap, -room[i], room[i]))
-    return left
+    """One multivariate hypergeometric draw of n blocks; there are at most MAX_BLOCKS, which the sampler can do."""
+    return rng.multivariate_hypergeometric(have, n, method="marginals")
 
 
 def affine(n: int, rng: np.random.Generator) -> tuple[int, int]:
@@ -92,7 +84,7 @@ def mix_plan(
 
     The documents of a source lie end to end on a line of words, in the order of a hash of their ids. Whole rounds of the
     line, then its beginning, are taken up to the target; one more document evens out what is left. The line is cut
-    into blocks of block_words; the splitting tree gives each shard an exact number of blocks of each source, and an affine
+    into blocks of block_words, or of more where there would be over MAX_BLOCKS; the splitting tree gives each shard an exact number of blocks of each source, and an affine
     permutation of the source's blocks says which. Prefix sums are taken by hash bucket, so a source
     that holds most of the rows is spread over many tasks. Only per-source totals reach the driver.
 
@@ -115,6 +107,7 @@ def mix_plan(
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(totals))], max_epochs)
     rng = np.random.Generator(np.random.PCG64(20_240_501))
     # A block of a whole round belongs to that round, so a source's blocks are those of its rounds and of the beginning.
+    block_words = max(block_words, -(-int(sum(aims)) // MAX_BLOCKS))
     quotas = np.array([-(-int(round(a)) // block_words) if a > 0 else 0 for a in aims], dtype=np.int64)
     ends = np.cumsum(split_quotas(quotas, n_shards, rng), axis=0)
     rows = []

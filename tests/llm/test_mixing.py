@@ -37,8 +37,22 @@ def test_tree_keeps_quotas_and_totals():
     tree = mixing.split_quotas(quotas, 7, np.random.default_rng(1))
     assert (tree.sum(axis=0) == quotas).all() and (tree >= 0).all()
     assert tree.sum(axis=1).max() - tree.sum(axis=1).min() <= 1
-    large = mixing.draw(np.array([2_000_000_000, 5, 1_500_000_000]), 1_700_000_000, np.random.default_rng(1))
-    assert large.sum() == 1_700_000_000 and (large >= 0).all() and large[1] <= 5
+    large = mixing.draw(np.array([mixing.MAX_BLOCKS // 2, 5, mixing.MAX_BLOCKS // 2 - 5]), mixing.MAX_BLOCKS // 3, np.random.default_rng(1))
+    assert large.sum() == mixing.MAX_BLOCKS // 3 and (large >= 0).all() and large[1] <= 5
+
+
+def test_draws_have_the_hypergeometric_mean_and_spread():
+    rng, have, n = np.random.default_rng(2), np.array([60, 30, 10]), 40
+    got = np.array([mixing.draw(have, n, rng) for _ in range(4000)])
+    share = have / have.sum()
+    assert np.allclose(got.mean(axis=0), n * share, atol=0.15)
+    assert np.allclose(got.var(axis=0), n * share * (1 - share) * (100 - n) / 99, rtol=0.1)
+
+
+def test_a_huge_mix_has_longer_blocks(spark):
+    data = [(i, f"s{i % 2}", 1 << 40, 0, "") for i in range(400)]
+    out = mixing.mix_plan(rows(spark, data), "size", block_words=16).toPandas()
+    assert abs(out.taken.sum() / (400 * 2**40) - 1) < 0.02 and all(set(s) <= set(range(16)) for s in out.shards)
 
 
 def test_mix_meets_targets_and_agrees_with_itself(spark):
