@@ -55,6 +55,18 @@ def _ordinal(df: DataFrame, name: str, skip: int) -> Column:
     return F.col(name).cast("double")
 
 
+def _coarse(v: Column) -> Column:
+    """v to twelve binary digits, so that there are few different values however many rows there are."""
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(v))) - 11)
+    return F.when(v == 0, F.lit(0.0)).otherwise(F.floor(v / unit) * unit)
+
+
+def _cuts(df: DataFrame, value: Column, steps: list[float]) -> list[float]:
+    """Quantiles from exact counts of the coarse values: the same however the rows are dealt out."""
+    counts = df.select(_coarse(value).alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.percentile("v", steps, F.col("n"))).first()[0] or []
+
+
 def curve_column(df: DataFrame, dims: list[str], bits: int = BITS) -> Column:
     """Curve index of each row, its dimensions cut at quantiles of the whole table. Nulls share the first step."""
     if 1 << (bits * len(dims)) > MAX_CELLS:
@@ -63,11 +75,10 @@ def curve_column(df: DataFrame, dims: list[str], bits: int = BITS) -> Column:
     ends = df.agg(F.count(F.lit(1)), *[f(c) for c in strings for f in (F.min, F.max)]).first()
     skip = {c: _common_prefix(ends[2 * i + 1] or "", ends[2 * i + 2] or "") for i, c in enumerate(strings)}
     steps = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = df.agg(*[F.percentile_approx(_ordinal(df, c, skip.get(c, 0)), steps, 10_000) for c in dims]).first()
     cell = F.lit(0)
-    for i, c in enumerate(dims):
-        at = sorted(set(cuts[i] or []))
+    for c in dims:
         value = _ordinal(df, c, skip.get(c, 0))
+        at = sorted(set(_cuts(df, value, steps)))
         step = F.coalesce(F.size(F.filter(F.array(*map(F.lit, at)), lambda q: q < value)), F.lit(0)) if at else F.lit(0)
         cell = cell * (1 << bits) + F.when(F.col(c).isNull(), 0).otherwise(step)
     order = F.lit(hilbert_order(bits, len(dims)).astype(np.int32))

@@ -59,3 +59,16 @@ def test_odd_rows(spark):
     with pytest.raises(ValueError):
         sharding.hilbert_shards(docs, ["size"], ["doc_id"], law="key")
     docs.select(F.lit(1))
+
+
+def test_cuts_do_not_depend_on_how_rows_are_dealt_out(spark):
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame([(i, float(rng.lognormal(5, 3)), f"source-{rng.integers(5000)}") for i in range(40_000)], "doc_id long, size double, source string")
+    got = []
+    for dealt in (df.repartition(3), df.repartition(17, "source"), df.orderBy("size").coalesce(1)):
+        out = sharding.hilbert_shards(dealt, ["source", "size"], ["doc_id"]).select("doc_id", "curve", "shard", "slot")
+        got.append(sorted(tuple(r) for r in out.collect()))
+    assert got[0] == got[1] == got[2]
+    cuts = sharding._cuts(df, F.col("size"), [0.25, 0.5, 0.75])
+    exact = np.quantile([r["size"] for r in df.collect()], [0.25, 0.5, 0.75])
+    assert np.allclose(cuts, exact, rtol=1e-3)
