@@ -47,5 +47,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), "stage")
+        kept = common.materialise(stage(spark, docs, sf_dir), "stage")
+        common.discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
