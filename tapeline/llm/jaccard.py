@@ -6,8 +6,8 @@ smaller of the two. Documents that share a prefix shingle form a bucket. Small b
 a large one, each document is compared with a leader c alone, which gives what it lacks of c and has beyond c: D(x). With
 s = |D(x) & D(y)|, J(x, y) <= J(x, c) unless s exceeds the smaller of the two parts of D(y). So two
 documents of which one isn't linked to c can only be linked if the other shares that much of its difference with it, which an index of differences finds.
-Documents further than NEAR from the leader meet again under another one. What is still in large buckets after some rounds gets one prefix
-token more each, so that a linked pair of a bucket shares a second one, and meets in the smaller buckets of both tokens."""
+Documents further than NEAR from the leader meet again under another one, as long as that halves them. What is still in large buckets then gets one
+prefix token more each, so that a linked pair of a bucket shares a second one, and meets in the buckets of both tokens, if those have fewer pairs."""
 
 from __future__ import annotations
 
@@ -252,7 +252,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     small = common.materialise(_direct(met.filter(f"docs <= {SMALL}").select(*plain), num, den), "direct", light=True)
     best = small.groupBy("id").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub")).select("hub", "id")
     rest, tables, far, held = met.filter(f"docs > {SMALL}"), [], [], []
-    limit = NEAR + 1 - num / den
+    limit, many = NEAR + 1 - num / den, rest.count()
     for k in range(ROUNDS):
         # Sizes alone put a document beyond the reach of all that is near the leader.
         reach = F.least("n", "hub_n") >= (1 - limit) * F.greatest("n", "hub_n")
@@ -272,7 +272,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
         held.append(rest)
         far.append(rest.filter(f"docs <= {SMALL}").select(*plain))
         rest = rest.filter(f"docs > {SMALL}")
-        if rest.isEmpty():
+        before, many = many, rest.count()
+        if 2 * many > before or not many:  # leaders that resemble few of their bucket are no help
             break
 
     compared = _union(tables)
@@ -283,7 +284,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
         counted = common.materialise(_direct(_union([met.filter(f"docs <= {SMALL}").select(*plain), *far]), num, den), "counted", light=True)
     asked = [counted.select("hub", "id"), common.materialise(_by_difference(compared, stars, num, den), "differing", light=True)]
     if not rest.isEmpty():
-        asked.append(common.materialise(_direct(_refined(rest, sets), num, den).select("hub", "id"), "refined", light=True))
+        finer = common.materialise(_refined(rest, sets), "finer")
+        held.append(finer)
+        cost = finer.groupBy("token").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+        coarse = rest.agg(F.sum("docs")).first()[0]
+        cheaper = finer if cost < coarse else rest.select("token", "id", "n", F.lit(1).alias("matches"))
+        asked.append(common.materialise(_direct(cheaper, num, den).select("hub", "id"), "refined", light=True))
     mine, other = stars.select(F.col("id").alias("hub"), F.col("component_id").alias("ca")), stars.select("id", F.col("component_id").alias("cb"))
     n_stars = stars.count()
     ask = _union(asked).join(_small(mine, n_stars), "hub", "left").join(_small(other, n_stars), "id", "left").filter("coalesce(ca, hub) <> coalesce(cb, id)").select("hub", "id")

@@ -158,7 +158,7 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, l2:
     if not rows:
         return Scorer(0.0, np.zeros(1 << HASH_BITS))
     row = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
-    col, val = np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows]).astype(np.float64)
+    col, val = np.concatenate([i for i, _ in rows]).astype(np.int64), np.concatenate([v for _, v in rows]).astype(np.float64)
     n, size = len(rows), 1 << HASH_BITS
     w, bias, step = np.zeros(size), float(np.log((good.sum() + 1) / (len(good) - good.sum() + 1))), 1.0 / (0.25 * 2.2 + l2)
     ahead, ahead_bias = w, bias
@@ -204,9 +204,10 @@ def train(docs: DataFrame, max_fit: int = MAX_FIT) -> QualityModel:
 
     ids = docs.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
     chosen = F.broadcast(docs.sparkSession.createDataFrame(ids.distinct().collect(), ids.schema))  # at most max_fit ids
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text").mapInArrow(sample, "pattern int, ids array<int>, vals array<float>").limit(2 * max_fit).collect()
-    good = labels.posterior(decode([r["pattern"] for r in rows]))
-    scorer = fit_scorer([(np.array(r["ids"], dtype=np.int64), np.array(r["vals"])) for r in rows], good)
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text").mapInArrow(sample, "pattern int, ids array<int>, vals array<float>").limit(2 * max_fit).toArrow()
+    good = labels.posterior(decode(rows.column("pattern").to_numpy()))
+    lists = zip(*([x.values.to_numpy() for c in rows.column(name).chunks for x in c] for name in ("ids", "vals")))  # views, no Python numbers
+    scorer = fit_scorer(list(lists), good)
     return QualityModel(labels, scorer)
 
 

@@ -88,7 +88,9 @@ def test_prefixes_of_linked_sets_share_what_they_must():
             assert len(np.intersect1d(a[:p], b[:q])) >= min(k, m)
 
 
-def test_components_of_chains_and_hubs(spark):
+@pytest.mark.parametrize("one_task", [0, 50_000])
+def test_components_of_chains_and_hubs(spark, monkeypatch, one_task):
+    monkeypatch.setattr("tapeline.llm.components.ONE_TASK", one_task)
     rng = np.random.default_rng(1)
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + int(k)) for k in rng.integers(1, 300, 400)] + [(5000, 5000), (None, 3)]
     got = {r.id: r.component_id for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
