@@ -14,9 +14,18 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _times(x: Column, digits: int, scale: int, quantity: Column) -> Column:
+    """x as decimal(digits, scale) times a quantity, all digits kept: its whole part and its fraction are multiplied apart, as one product of both would not fit."""
+    x = x.cast(f"decimal({digits},{scale})")
+    q = quantity.cast("decimal(28,8)")
+    whole = F.floor(q)
+    parts = x * whole.cast(f"decimal({37 - digits},0)"), x * (q - whole).cast("decimal(9,8)")
+    return (parts[0].cast("decimal(37,16)") + parts[1].cast("decimal(37,16)")).cast("decimal(38,16)")
+
+
 def product(a: Column | str, b: Column | str) -> Column:
-    """Exact product of a price and a quantity. Operands are narrowed, so no digit of the result is cut; ANSI casts refuse what does not fit."""
-    return (_col(a).cast(_EXACT) * _col(b).cast(_EXACT)).cast("decimal(38,16)")
+    """Exact product of a price and a quantity; ANSI casts refuse what does not fit."""
+    return _times(_col(a), 18, 8, _col(b))
 
 
 def latency_ns() -> Column:
@@ -172,12 +181,17 @@ def is_short() -> Column:
 
 def signed_quantity() -> Column:
     """Zero when flat."""
-    return F.coalesce(F.col("quantity") * sign(), F.lit(0).cast("decimal(28,8)"))
+    return F.coalesce(_signed(F.col("quantity").cast("decimal(28,8)")), F.lit(0).cast("decimal(28,8)"))
+
+
+def _signed(x: Column) -> Column:
+    """x, below zero for a sale; a product with sign() would lose a digit."""
+    return F.when(F.col("side") == "SELL", -x).when(F.col("side") == "BUY", x)
 
 
 def unrealised_pnl(mark: Column | str) -> Column:
     """Zero when flat, gross of fees."""
-    open_ = product((_col(mark) - F.col("average_price").cast(_EXACT)) * sign(), F.col("quantity"))
+    open_ = _times(_col(mark) - F.col("average_price"), 22, 12, signed_quantity())
     return F.when(is_flat(), F.lit(0).cast("decimal(38,16)")).otherwise(open_)
 
 
@@ -212,6 +226,16 @@ def money_zero() -> Column:
     return F.lit(0).cast(schema.MONEY)
 
 
+def quantity_sum(a: Column | str, b: Column | str) -> Column:
+    """P38"""
+    return (_col(a) + _col(b)).cast("decimal(28,8)")
+
+
+def is_zero(a: Column | str) -> Column:
+    """P38"""
+    return _col(a) == 0
+
+
 def quantity_difference(a: Column | str, b: Column | str) -> Column:
     """Below zero is an error."""
     left = _col(a) - _col(b)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from .registry import FeatureRegistry, FeatureSpec, Strategy
+from .registry import FeatureRef, FeatureRegistry, FeatureSpec, Strategy, Version
 
 SERIES = ("venue", "ticker", "interval")
 features = FeatureRegistry()
@@ -26,8 +27,25 @@ def evaluate(spec: FeatureSpec) -> Column:
 
 
 def compute(bars: DataFrame, specs: Iterable[FeatureSpec]) -> DataFrame:
-    """bars with a column for each feature; all share one shuffle and one sort by series."""
-    return bars.withColumns({s.name: evaluate(s).cast("double") for s in specs})
+    """bars with a column for each feature, which says its version; all share one shuffle and one sort by series.
+
+    Of several versions of a name the latest has the plain name; each of them has a column name@version."""
+    specs = list(specs)
+    count = Counter(s.name for s in specs)
+    latest = {s.name: s for s in sorted(specs, key=lambda s: Version.parse(s.version))}
+    named = [(s.name, s) for s in latest.values()] + [(s.qualified_name, s) for s in specs if count[s.name] > 1]
+    out = bars.drop(*[name for name, _ in named])
+    return out.select("*", *[evaluate(s).cast("double").alias(name, metadata={"version": s.version}) for name, s in named])
+
+
+def pinned(table: DataFrame, ref: FeatureRef) -> Column:
+    """The column that a reference means: the plain name, or that of its version; a table without it is an error."""
+    if ref.version is None or f"{ref.name}@{ref.version}" not in table.columns:
+        version = table.schema[ref.name].metadata.get("version", ref.version)
+        if ref.version not in (None, version):
+            raise ValueError(f"{ref} is asked for, the table has version {version}")
+        return F.col(ref.name)
+    return F.col(f"`{ref.name}@{ref.version}`")
 
 
 def at(bars: DataFrame, spec: FeatureSpec, as_of: int) -> DataFrame:
@@ -41,6 +59,7 @@ def decide(strategy: Strategy, table: DataFrame) -> DataFrame:
 
     The gate comes after the windows: rows of other regimes are part of the history."""
     names = [f.name for f in strategy.features]
+    table = table.withColumns({f.name: pinned(table, f) for f in strategy.features if f.version is not None})
     open_ = table.filter(F.col("regime").isin(*strategy.regimes) if strategy.regimes else F.lit(False)).filter(c.requires(*names))
     return strategy.decide(open_).withColumns({"strategy": F.lit(strategy.name), "strategy_version": F.lit(strategy.version)})
 

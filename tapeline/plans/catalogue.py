@@ -227,10 +227,10 @@ def order_price_matrix(spark, sf_dir):
 
 
 INTENTS = """intents AS (SELECT o_orderkey AS seq, 'C' || (o_custkey % 50) AS ticker, epoch_us(o_orderdate) * 1000 AS ts_event, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS sgn, CASE left(o_orderpriority, 1) WHEN '1' THEN 'MARKET' WHEN '2' THEN 'STOP' ELSE 'LIMIT' END AS entry,
-  round(o_totalprice / 1000, 2) AS mark, round(o_totalprice / 1000, 2) * CASE WHEN o_orderkey % 2 = 0 THEN 0.95 ELSE 1.05 END AS invalidation FROM orders WHERE round(o_totalprice / 1000, 2) > 0)"""
+  CAST(floor(o_totalprice / 10) AS DECIMAL(18,0)) * 0.01 AS mark, CAST(floor(o_totalprice / 10) AS DECIMAL(18,0)) * 0.01 * CASE WHEN o_orderkey % 2 = 0 THEN 0.95 ELSE 1.05 END AS invalidation FROM orders WHERE o_totalprice >= 10)"""
 
 
-@query(f"""WITH {INTENTS} SELECT CAST(seq AS BIGINT) AS seq, round(abs(mark - invalidation), 4) AS risk, round(mark + abs(mark - invalidation) * 2 * sgn, 4) AS target, CAST(ts_event + 86400000000000 AS BIGINT) AS expires_at, entry <> 'MARKET' AS has_price FROM intents""")
+@query(f"""WITH {INTENTS} SELECT CAST(seq AS BIGINT) AS seq, round(CAST(abs(mark - invalidation) AS DOUBLE), 4) AS risk, round(CAST(mark + abs(mark - invalidation) * 2 * sgn AS DOUBLE), 4) AS target, CAST(ts_event + 86400000000000 AS BIGINT) AS expires_at, entry <> 'MARKET' AS has_price FROM intents""")
 def intent_barriers(spark, sf_dir):
     i = rules.strict(adapters.intents(spark, sf_dir).withColumn("ts_init", F.col("ts_event")), rules.intent())
     out = i.select("seq", c.risk_per_share("mark").alias("risk"), c.target_price("mark").alias("target"), c.expires_at().alias("expires_at"), F.col("entry_price").isNotNull().alias("has_price"))
@@ -260,15 +260,20 @@ def position_running_qty(spark, sf_dir):
 
 
 FOLD = f"""WITH RECURSIVE {FILLS}, n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts_event, seq) AS k FROM fills),
- fold AS (SELECT ticker, venue, k, seq, CAST(sgn * quantity AS DOUBLE) AS q, CAST(price AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS r, CAST(commission AS DOUBLE) AS fees FROM n WHERE k = 1
+ fold AS (SELECT ticker, venue, k, seq, CAST(sgn * quantity AS DOUBLE) AS q, CAST(price AS DOUBLE) AS a, CAST(0 AS DECIMAL(38,12)) AS r, CAST(commission AS DOUBLE) AS fees FROM n WHERE k = 1
   UNION ALL SELECT n.ticker, n.venue, n.k, n.seq, f.q + n.sgn * n.quantity,
    CASE WHEN f.q + n.sgn * n.quantity = 0 THEN 0 WHEN f.q = 0 OR sign(f.q) <> sign(f.q + n.sgn * n.quantity) THEN n.price WHEN sign(f.q) = n.sgn THEN (f.a * abs(f.q) + n.price * n.quantity) / (abs(f.q) + n.quantity) ELSE f.a END,
-   f.r + CASE WHEN f.q <> 0 AND sign(f.q) <> n.sgn THEN (n.price - f.a) * sign(f.q) * least(abs(f.q), n.quantity) ELSE 0 END, f.fees + n.commission FROM fold f JOIN n ON n.ticker = f.ticker AND n.k = f.k + 1)"""
-FOLD_COLUMNS = "CASE WHEN q > 0 THEN 'BUY' WHEN q < 0 THEN 'SELL' END AS side, abs(q) AS quantity, CASE WHEN q <> 0 THEN round(a, 4) END AS average_price, round(r, 5) AS realised_pnl, round(fees, 2) AS fees, CAST(k AS BIGINT) AS fill_count"
+   f.r + CASE WHEN f.q <> 0 AND sign(f.q) <> n.sgn THEN CAST((n.price - f.a) * sign(f.q) * least(abs(f.q), n.quantity) AS DECIMAL(38,12)) ELSE CAST(0 AS DECIMAL(38,12)) END, f.fees + n.commission FROM fold f JOIN n ON n.ticker = f.ticker AND n.k = f.k + 1)"""
+#: Added before rounding, as many of these sums end in a five.
+TIE = 3.3e-7
+FOLD_COLUMNS = f"CASE WHEN q > 0 THEN 'BUY' WHEN q < 0 THEN 'SELL' END AS side, abs(q) AS quantity, CASE WHEN q <> 0 THEN round(a * abs(q) + {TIE}, 3) END AS cost, round(CAST(r AS DOUBLE) + {TIE}, 3) AS realised_pnl, round(fees, 2) AS fees, CAST(k AS BIGINT) AS fill_count"
 
 
 def _rounded(df: DataFrame, *first: str) -> DataFrame:
-    return df.select(*first, "side", dbl("quantity", 2), dbl("average_price", 4), dbl("realised_pnl", 5), dbl("fees", 2), "fill_count")
+    """cost is the average price times the quantity."""
+    cost = F.col("average_price").cast("decimal(22,12)") * F.col("quantity").cast("decimal(15,2)")
+    df = df.withColumns({"cost": cost.cast("double") + TIE, "realised_pnl": F.col("realised_pnl").cast("double") + TIE})
+    return df.select(*first, "side", dbl("quantity", 2), dbl("cost", 3), dbl("realised_pnl", 3), dbl("fees", 2), "fill_count")
 
 
 @query(f"{FOLD} SELECT ticker, venue, {FOLD_COLUMNS} FROM fold WHERE (ticker, k) IN (SELECT ticker, max(k) FROM n GROUP BY 1)")
@@ -282,7 +287,7 @@ def position_running(spark, sf_dir):
 
 
 VALUED = f"""{FOLD}, p AS (SELECT * FROM fold WHERE (ticker, k) IN (SELECT ticker, max(k) FROM n GROUP BY 1)), m AS (SELECT ticker, arg_max(price, k) AS mark FROM n GROUP BY 1),
- v AS (SELECT p.ticker, CASE WHEN venue = 'TSX' THEN 'CAD' ELSE 'USD' END AS currency, mark, (mark - a) * q AS unrealised, mark * q AS market_value, r - fees AS net, r - fees + (mark - a) * q AS total FROM p JOIN m USING (ticker))"""
+ v AS (SELECT p.ticker, CASE WHEN venue = 'TSX' THEN 'CAD' ELSE 'USD' END AS currency, mark, (mark - a) * q AS unrealised, mark * q AS market_value, CAST(r AS DOUBLE) - fees AS net, CAST(r AS DOUBLE) - fees + (mark - a) * q AS total FROM p JOIN m USING (ticker))"""
 
 
 def _valued(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,11 +330,10 @@ def _breakout(df: DataFrame) -> DataFrame:
 BREAKOUT = Strategy("breakout", "1.0.0", _breakout, regimes=("TREND_UP",), features=(FeatureRef("last_close"), FeatureRef("mean_close", "1.0.0")))
 
 
-@query(f"""{HOUR_BARS}, f AS (SELECT *, CASE WHEN count(*) {W3} = 3 THEN avg(close) {W3} END AS m FROM bars)
-  SELECT ticker, venue, CAST(ts_event AS BIGINT) AS ts_event, 'BUY' AS side, round(close, 6) AS entry_price, 'breakout' AS strategy, '1.0.0' AS strategy_version FROM f WHERE m IS NOT NULL AND round(close - m, 9) > 0 AND (ts_event // 3600000000000) % 2 = 0""")
+@query(f"""{HOUR_BARS}, f AS (SELECT *, CASE WHEN count(*) {W3} = 3 THEN avg(close) {W3} END AS m, sum(CAST(close AS DECIMAL(18,8))) {W3} AS s3 FROM bars)
+  SELECT ticker, venue, CAST(ts_event AS BIGINT) AS ts_event, 'BUY' AS side, round(close, 6) AS entry_price, 'breakout' AS strategy, '1.0.0' AS strategy_version FROM f WHERE m IS NOT NULL AND 3 * CAST(close AS DECIMAL(18,8)) > s3 AND (ts_event // 3600000000000) % 2 = 0""")
 def strategy_intents(spark, sf_dir):
     table = features.compute(hour_bars(spark, sf_dir), [features.features.get("last_close"), features.features.get("mean_close", "1.0.0")])
-    table = table.withColumn("mean_close", F.when(F.round(F.col("last_close") - F.col("mean_close"), 9) > 0, F.col("mean_close")).otherwise(F.greatest("mean_close", "last_close")))
     table = table.withColumn("regime", F.when(F.expr("(ts_event div 3600000000000) % 2 = 0"), "TREND_UP").otherwise("UNKNOWN"))
     return features.decide(BREAKOUT, table).withColumn("entry_price", F.round("entry_price", 6))
 
@@ -385,7 +389,7 @@ def derived_ids(spark, sf_dir):
     return made.select("seq", "intent_id", ids.order_id(F.col("intent_id"), F.col("ts_event")).alias("order_id"))
 
 
-BARRIER = f"""{DAY_BARS}, i AS (SELECT seq, ticker, venue, price, ts_event, CASE WHEN seq % 2 = 0 THEN 1 ELSE -1 END AS sgn FROM ticks WHERE seq % 5 = 0),
+BARRIER = f"""{DAY_BARS}, i AS (SELECT seq, ticker, venue, price, ts_event, CASE WHEN seq % 2 = 0 THEN 1 ELSE -1 END AS sgn FROM ticks),
  h AS (SELECT i.seq, i.sgn, b.ts_event, b.high, b.low, i.price FROM i JOIN bars b ON b.ticker = i.ticker AND b.venue = i.venue AND b.ts_event > i.ts_event AND b.ts_event <= i.ts_event + {3 * DAY}),
  e AS (SELECT seq, ts_event, CASE WHEN sgn = 1 THEN low <= price * 0.9 ELSE high >= price * 1.1 END AS st, CASE WHEN sgn = 1 THEN high >= price * 1.2 ELSE low <= price * 0.8 END AS tg FROM h),
  x AS (SELECT seq, arg_min(CASE WHEN st THEN 'stop' ELSE 'target' END, ts_event) AS barrier FROM e WHERE st OR tg GROUP BY 1)
@@ -394,9 +398,7 @@ BARRIER = f"""{DAY_BARS}, i AS (SELECT seq, ticker, venue, price, ts_event, CASE
 
 @query(BARRIER)
 def triple_barrier(spark, sf_dir):
-    """Which barrier each trade would have met, as a proposal with a stop at a tenth, twice that as target, and three days.
-
-    The SQL still has a cut to every fifth trade, so it agrees on those only."""
+    """Which barrier each trade would have met, as a proposal with a stop at a tenth, twice that as target, and three days."""
     t = adapters.ticks(spark, sf_dir)
     side = F.when(F.col("seq") % 2 == 0, "BUY").otherwise("SELL")
     of = lambda up: (F.col("price") * F.when(F.col("side") == "BUY", up).otherwise(200 - up) / 100).cast("decimal(18,8)")

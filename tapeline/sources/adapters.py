@@ -71,7 +71,7 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposals from orders: the side by parity, the trigger by priority, the stop five per cent away."""
     o = table(spark, sf_dir, "orders").filter("o_totalprice > 0")
-    price = F.round(F.col("o_totalprice") / 1000, 2).cast("decimal(18,8)")
+    price = (F.floor(F.col("o_totalprice") / 10).cast("decimal(18,0)") / 100).cast("decimal(18,8)")  # the same cents in any engine
     side = F.when(F.col("o_orderkey") % 2 == 0, "BUY").otherwise("SELL")
     entry = F.when(F.col("o_orderpriority").startswith("1"), "MARKET").when(F.col("o_orderpriority").startswith("2"), "STOP").otherwise("LIMIT")
     stop = (price * F.when(side == "BUY", 95).otherwise(105) / 100).cast("decimal(18,8)")

@@ -40,25 +40,26 @@ def bars(ticks: DataFrame, interval: str, lateness: str) -> DataFrame:
 
 class Fold(StatefulProcessor):
     """The position of a symbol after each fill. Fills of one batch are folded in order; one older than the last folded
-    is not folded but comes out with late = true, for a correction to deal with."""
+    is not folded but comes out with late = true, for a correction to deal with. Numbers as seq compare as numbers, texts as texts."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("position", "side string, quantity string, average string, realised string, fees string, fills long, ts long, seq string")
+        self.state = handle.getValueState("position", "side string, quantity string, average string, realised string, fees string, fills long, ts long, seq string, number boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        at, last = State(), (-(1 << 62), "")
+        at, last = State(), None
         if self.state.exists():
-            side, quantity, average, realised, fees, fills, ts, seq = self.state.get()
-            at, last = State(side, Decimal(quantity), None if average is None else Decimal(average), Decimal(realised), Decimal(fees), fills), (ts, seq)
+            side, quantity, average, realised, fees, fills, ts, seq, number = self.state.get()
+            at, last = State(side, Decimal(quantity), None if average is None else Decimal(average), Decimal(realised), Decimal(fees), fills), (ts, int(seq) if number else seq)
         out = []
         for r in pd.concat(list(rows)).sort_values(["ts_event", "seq"]).itertuples():
-            late = (r.ts_event, str(r.seq)) < last
+            here = (int(r.ts_event), r.seq if isinstance(r.seq, str) else int(r.seq))
+            late = last is not None and here < last
             if not late:
                 at.apply(r.side, r.price, r.quantity, r.commission_amount)
-                last = (r.ts_event, str(r.seq))
+                last = here
             text = lambda x: None if x is None else f"{x:f}"
             out.append((*key, r.ts_event, str(r.seq), at.side, text(at.quantity), text(at.average), text(at.realised), text(at.fees), at.fills, late))
-        self.state.update((at.side, str(at.quantity), None if at.average is None else str(at.average), str(at.realised), str(at.fees), at.fills, *last))
+        self.state.update((at.side, str(at.quantity), None if at.average is None else str(at.average), str(at.realised), str(at.fees), at.fills, last[0], str(last[1]), isinstance(last[1], int)))
         yield pd.DataFrame(out, columns=["ticker", "venue", "ts_event", "seq", "side", "quantity", "average_price", "realised_pnl", "fees", "fill_count", "late"])
 
     def close(self) -> None:
@@ -73,6 +74,11 @@ def positions(fills: DataFrame) -> DataFrame:
     return fills.groupBy("ticker", "venue").transformWithStateInPandas(statefulProcessor=Fold(), outputStructType=POSITIONS, outputMode="Append", timeMode="None")
 
 
+def split_late(folded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(positions after fills on time, late fills for a table of their own) of positions(); each feeds a sink of its own."""
+    return folded.filter("not late").drop("late"), folded.filter("late").select("ticker", "venue", "ts_event", "seq")
+
+
 def append(stream: DataFrame, path: str, checkpoint: str):
     """What there is, appended to Parquet once; what was written is never changed."""
     return stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
