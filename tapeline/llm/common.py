@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,18 @@ def materialise(df: DataFrame, tag: str, *by: str, light: bool = False) -> DataF
     return back
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Texts go to Python in batches of so many rows at most while jobs run inside: a batch is held by the JVM and by Python, for each task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def kept_in(df: DataFrame, table: DataFrame) -> DataFrame:
     """df, for which discard() removes the written table that it reads."""
     df._tapeline_path = table._tapeline_path

@@ -43,11 +43,10 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.uint16)
-        for batch in batches:
+        for batch in common.portions(batches, 500):
             hits = [sh & np.uint64(size - 1) for sh in common.shingle_sets(batch.column("text"), width)]
-            for at in range(0, len(hits), 500):
-                bucket, n = np.unique(np.concatenate(hits[at : at + 500]).astype(np.int64), return_counts=True)
-                total[bucket] = np.minimum(total[bucket] + n, MOST)
+            bucket, n = np.unique(np.concatenate(hits).astype(np.int64), return_counts=True)
+            total[bucket] = np.minimum(total[bucket] + n, MOST)
         blocks = [k for k in range(size // block) if total[k * block : (k + 1) * block].any()]
         for at in range(0, len(blocks), 64):
             some = blocks[at : at + 64]
@@ -113,7 +112,7 @@ def describe(docs: DataFrame, shared, width: int, num: int, den: int) -> DataFra
     prefix has one token more than length says, for buckets that stay large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.portions(batches):
+        for batch in common.portions(batches, 1000):
             n, keys, matches, rarity, lengths, prefix = [], [], [], [], [], []
             for sh in common.shingle_sets(batch.column("text"), width):
                 n.append(len(sh))
@@ -236,7 +235,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     least num/den similar are linked; component_id is the smallest doc_id reachable. A text shorter than a shingle is one
     shingle. Null and empty texts have none and are linked with nothing. Equal sets are one class, compared once. Rows with the same
     doc_id count as one document. A null doc_id has its n_shingles and no component. An empty table gives an empty result."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with common.small_batches(docs.sparkSession):
+        return _components_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, num, den)
+
+
+def _components_of(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(sketch(docs, width)))  # 2**SKETCH_BITS bytes
     table = common.materialise(describe(docs, classes, width, num, den), "sets")
     known = table.filter("n > 0 and doc_id is not null")
