@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,12 +19,14 @@ ORDER = 4
 #: Letters fall into 63 classes: a to z, and 37 that share the others by a hash. Class 0 is all that is no letter. So
 #: there are at most 2**24 four-grams in a language, which bounds what the driver gathers and broadcasts.
 CLASS_BITS = 6
-#: Documents that calibrate the scores and the rejection, at most: those with the smallest hashes of their ids.
-MAX_CALIBRATION = 2000
-#: Of each language at least so many calibrate its rejection, if it has them; below LEAST it has none.
-PER_LANGUAGE, LEAST = 100, 20
+#: Where train() is asked for a sample to calibrate with: so many of each language are in it, if it has them.
+PER_LANGUAGE = 100
+#: A language with fewer documents to calibrate with rejects none.
+LEAST = 20
 REJECT_QUANTILE = 0.999
 UNDETERMINED = "und"
+#: What the calibration chooses from; losses are added up in whole units and cross-entropies counted in whole steps, so sums don't depend on their order.
+SHARPNESSES, UNIT, STEP = np.array([1, 2, 3, 5, 8, 12, 20, 30, 50, 80]), 2.0**-20, 2.0**-10
 
 
 @lru_cache(maxsize=1)
@@ -215,12 +218,11 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, max_calibration: int = MAX_CALIBRATION) -> Model:
-    """Models of every lang of docs (doc_id, text, lang) from all its rows, and a calibration from bounded samples:
-    one over all languages, and for the rejection PER_LANGUAGE documents of each.
+def train(docs: DataFrame, max_calibration: int | None = None) -> Model:
+    """Models of every lang of docs (doc_id, text, lang) from all its rows, which also calibrate scores and rejection, each once more.
 
+    max_calibration: calibrate with at most so many documents over all languages, and for the rejection PER_LANGUAGE of each, instead of all.
     Rows without text or lang teach nothing. Without any row the model has no language and all texts are undetermined."""
-    spark = docs.sparkSession
     got = count_grams(docs).toArrow()
     lang, gram, n = (got.column(c) for c in ("lang", "gram", "n"))
     names, gram, n = np.array(lang.to_pylist(), dtype=object), gram.to_numpy(), n.to_numpy()
@@ -232,24 +234,48 @@ def train(docs: DataFrame, max_calibration: int = MAX_CALIBRATION) -> Model:
     model = build(tables)
     if not model.langs:
         return model
-    usable = docs.filter("text is not null and lang is not null and doc_id is not null")
-    order = F.xxhash64("doc_id")
-    ids = [r["doc_id"] for r in usable.select("doc_id").orderBy(order, "doc_id").limit(max_calibration).distinct().collect()]
+    usable = docs.filter("text is not null and lang is not null")
+    rows = usable.withColumn("shared", F.lit(True)) if max_calibration is None else _sample(usable.filter("doc_id is not null"), max_calibration)
+    calibrate(model, tally(rows, model).collect())  # a row for each language and step, and for each sharpness
+    return model
+
+
+def _sample(usable: DataFrame, most: int) -> DataFrame:
+    """The rows of the `most` smallest hashes of ids, and of the smallest ones of each lang; the latter not shared."""
+    ids = [r["doc_id"] for r in usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct().collect()]
     every = {i: True for i in ids}
-    for i in _ids_of_each(usable, max_calibration):
+    for i in _ids_of_each(usable, most):
         every.setdefault(i, False)
-    chosen = F.broadcast(spark.createDataFrame(list(every.items()), T.StructType([usable.schema["doc_id"], T.StructField("shared", T.BooleanType())])))
-    shared = spark.sparkContext.broadcast(model)
+    schema = T.StructType([usable.schema["doc_id"], T.StructField("shared", T.BooleanType())])
+    return usable.join(F.broadcast(usable.sparkSession.createDataFrame(list(every.items()), schema)), "doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ces = [shared.value.cross_entropies(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([c.tolist() for c, _ in ces], pa.list_(pa.float64())), pa.array([k for _, k in ces], pa.int64()), batch.column("shared")], names=["lang", "ce", "letters", "shared"])
 
-    rows = usable.join(chosen, "doc_id").select("lang", "text", "shared").mapInArrow(run, "lang string, ce array<double>, letters long, shared boolean").limit(2 * len(every)).collect()
-    read = [[(r["lang"], np.array(r["ce"]), r["letters"]) for r in rows if r["shared"] == x] for x in (True, False)]
-    calibrate(model, *read)
-    return model
+def tally(rows: DataFrame, model: Model) -> DataFrame:
+    """(lang, step, n) over all rows (lang, text, shared) with a letter: of each lang, how many documents have a cross-entropy under their
+    own language of so many steps, rounded up. With a null lang, the loss of the shared ones under each of SHARPNESSES, in units."""
+    broadcast = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, losses, seen = broadcast.value, np.zeros(len(SHARPNESSES), dtype=np.int64), Counter()
+        number = {x: i for i, x in enumerate(m.langs)}
+        for batch in common.portions(batches):
+            got = [(x, s, m.cross_entropies(t)) for x, s, t in zip(*(batch.column(c).to_pylist() for c in ("lang", "shared", "text")))]
+            got = [(x, s, ce) for x, s, (ce, letters) in got if letters]
+            if not got:
+                continue
+            ce, truth = np.stack([g[2] for g in got]), np.array([number[g[0]] for g in got])
+            own = ce[np.arange(len(got)), truth]
+            seen.update(zip((g[0] for g in got), np.ceil(own / STEP).astype(np.int64).tolist()))
+            shared = np.array([g[1] for g in got])
+            gap = (ce - ce.min(axis=1, keepdims=True))[shared]
+            far = gap[np.arange(len(gap)), truth[shared]]
+            for k, b in enumerate(SHARPNESSES):
+                losses[k] += np.round((b * far + np.log(np.exp(-b * gap).sum(axis=1))) / UNIT).astype(np.int64).sum()
+        keys = [*seen, *((None, k) for k in range(len(losses)))]
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([*seen.values(), *losses.tolist()], pa.int64())], names=["lang", "step", "n"])
+
+    counts = rows.select("lang", "text", "shared").mapInArrow(run, "lang string, step long, n long")
+    return counts.groupBy("lang", "step").agg(F.sum("n").alias("n"))
 
 
 def _ids_of_each(usable: DataFrame, most: int) -> list:
@@ -267,25 +293,22 @@ def _ids_of_each(usable: DataFrame, most: int) -> list:
     return [i for some in found.values() for _, i in sorted(some)[:each]]
 
 
-def calibrate(model: Model, rows: list[tuple[str, np.ndarray, int]], more: list[tuple[str, np.ndarray, int]] | None = None) -> None:
-    """Set the sharpness that makes the true languages likeliest, and each language's highest acceptable cross-entropy.
-
-    more: rows of rare languages beyond their share, which count for the latter only. A language with under LEAST rows has no limit."""
-    number = {x: i for i, x in enumerate(model.langs)}
-    rows, more = ([(number[x], ce) for x, ce, letters in part if letters and x in number] for part in (rows, more or []))
-    limits = np.full(len(model.langs), np.inf)
-    if rows:
-        truth, ce = np.array([r[0] for r in rows]), np.stack([r[1] for r in rows])
-        gap = ce - ce.min(axis=1, keepdims=True)
-        own = gap[np.arange(len(truth)), truth]
-        loss = {b: float(np.mean(b * own + np.log(np.exp(-b * gap).sum(axis=1)))) for b in (1, 2, 3, 5, 8, 12, 20, 30, 50, 80)}
-        model.sharpness = float(min(loss, key=loss.get))
-    if rows or more:
-        truth, ce = np.array([r[0] for r in rows + more]), np.stack([r[1] for r in rows + more])
-        for i in range(len(model.langs)):
-            if (truth == i).sum() >= LEAST:
-                limits[i] = float(np.quantile(ce[truth == i, i], REJECT_QUANTILE)) * 1.1
-    model.limits = limits
+def calibrate(model: Model, counts: list[tuple[str | None, int, int]]) -> None:
+    """Set the sharpness that makes the true languages likeliest, and each language's highest acceptable cross-entropy: a tenth above
+    the step within which REJECT_QUANTILE of its documents are. counts: rows of tally(). A language with under LEAST documents has no limit."""
+    losses = {k: n for lang, k, n in counts if lang is None}
+    steps: dict[str, list[tuple[int, int]]] = {}
+    for lang, step, n in counts:
+        if lang is not None:
+            steps.setdefault(lang, []).append((step, n))
+    if steps and losses:
+        model.sharpness = float(SHARPNESSES[min(losses, key=lambda k: (losses[k], k))])
+    model.limits = np.full(len(model.langs), np.inf)
+    for lang, some in steps.items():
+        at, n = np.array(sorted(some)).T
+        if n.sum() >= LEAST:
+            first = int(np.searchsorted(np.cumsum(n), REJECT_QUANTILE * n.sum()))
+            model.limits[model.langs.index(lang)] = at[first] * STEP * 1.1
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

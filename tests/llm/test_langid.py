@@ -111,3 +111,27 @@ def test_a_rare_language_has_its_own_limit(spark, monkeypatch):
     monkeypatch.setattr(langid, "PER_LANGUAGE", 20)
     want = {x: [r.doc_id for r in docs.filter(F.col("lang") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).collect()] for x in ("en", "de", "fr")}
     assert sorted(langid._ids_of_each(docs, 60)) == sorted(sum(want.values(), []))
+
+
+def test_all_rows_calibrate(spark):
+    """Rows whose ids have no small hash are like no other: their limit and sharpness come from all rows, however many there are."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    ids = [r.id for r in spark.range(3000).orderBy(F.xxhash64("id"), "id").collect()]
+    odd = lambda: " ".join("".join(rng.choice(list("qxzjvkwy"), 6)) for _ in range(5))
+    rows = [(i, (EN if k % 2 else DE) if k < 2500 else odd(), "en" if k % 2 else "de") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = langid.train(docs)
+    got = [(lang, *model.cross_entropies(text)) for _, text, lang in rows]
+    own = {x: np.array([ce[model.langs.index(x)] for lang, ce, _ in got if lang == x]) for x in ("de", "en")}
+    for x, limit in zip(model.langs, model.limits):
+        want = np.quantile(own[x], langid.REJECT_QUANTILE, method="inverted_cdf")
+        assert want * 1.1 <= limit <= (want + langid.STEP) * 1.1
+    gap = np.stack([ce - ce.min() for _, ce, _ in got])
+    far = gap[np.arange(len(got)), [model.langs.index(lang) for lang, _, _ in got]]
+    loss = {b: np.mean(b * far + np.log(np.exp(-b * gap).sum(axis=1))) for b in langid.SHARPNESSES.tolist()}
+    assert model.sharpness == min(loss, key=loss.get)
+    assert langid.identify(docs, model).filter("rejected").count() <= 3
+    again = langid.train(docs.repartition(2))
+    assert again.sharpness == model.sharpness and (again.limits == model.limits).all()
