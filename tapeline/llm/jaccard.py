@@ -6,8 +6,8 @@ smaller of the two. Documents that share a prefix shingle form a bucket. Small b
 a large one, each document is compared with a leader c alone, which gives what it lacks of c and has beyond c: D(x). With
 s = |D(x) & D(y)|, J(x, y) <= J(x, c) unless s exceeds the smaller of the two parts of D(y). So two
 documents of which one isn't linked to c can only be linked if the other shares that much of its difference with it, which an index of differences finds.
-Documents further than NEAR from the leader meet again under another one, as long as that halves them. What is still in large buckets then gets one
-prefix token more each, so that a linked pair of a bucket shares a second one, and meets in the buckets of both tokens, if those have fewer pairs."""
+Documents further than NEAR from the leader meet again under another one, as long as that halves them. What is still in large buckets is split: with each
+prefix token more, the linked pairs of a bucket share a further one, and meet in the buckets of both, where those have fewer pairs."""
 
 from __future__ import annotations
 
@@ -28,6 +28,8 @@ SKETCH_BITS, MOST = 24, (1 << 16) - 1
 _BLOCK_BITS = 14
 #: Largest bucket whose pairs are listed, and rounds of leaders for the larger ones.
 SMALL, ROUNDS = 8, 3
+#: How often a bucket that leaders don't empty is split by a further token, at most.
+DEPTH = 3
 #: Jaccard distance from a leader within which differences are indexed.
 NEAR = 0.25
 MAX_MATCHES = 6
@@ -109,7 +111,7 @@ def choose_prefix(tokens: np.ndarray, num: int, den: int) -> tuple[int, int]:
 def describe(docs: DataFrame, shared, width: int, num: int, den: int) -> DataFrame:
     """(doc_id, n, key, matches, rarity, length, prefix): key is a digest of the set; rarity orders leaders, lowest first.
 
-    prefix has one token more than length says, for buckets that stay large."""
+    prefix has DEPTH tokens more than length says, for buckets that stay large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.portions(batches, 1000):
@@ -125,7 +127,7 @@ def describe(docs: DataFrame, shared, width: int, num: int, den: int) -> DataFra
                 matches.append(k)
                 rarity.append(-float((tokens >> np.uint64(56)).mean()))
                 lengths.append(length)
-                prefix.append(tokens[: length + 1].copy().view(np.int64))
+                prefix.append(tokens[: length + DEPTH].copy().view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(matches, pa.int32()), pa.array(rarity, pa.float64()), pa.array(lengths, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
                 names=["doc_id", "n", "key", "matches", "rarity", "length", "prefix"],
@@ -185,21 +187,51 @@ def compare(pairs: DataFrame, docs: DataFrame, classes, width: int, num: int, de
 
 
 def _direct(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """(hub, id, shared): documents of one bucket whose sizes allow a link and that share enough prefix shingles."""
-    a = postings.select("token", F.col("id").alias("hub"), F.col("n").alias("na"), F.col("matches").alias("ma"))
-    b = postings.select("token", "id", F.col("n").alias("nb"), F.col("matches").alias("mb"))
-    fit = (F.col("hub") < F.col("id")) & (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-    met = a.join(b, "token").filter(fit).groupBy("hub", "id").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("ma", "mb")).alias("needed"))
-    return met.filter("shared >= needed").select("hub", "id", "shared")
-
-
-def _refined(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """The postings of rest by pairs of tokens: that of their bucket, and each other one of their prefixes.
+    """(hub, id, shared, needed): documents of one bucket whose sizes allow a link, in how many buckets they meet and in how many linked ones do.
 
-    Prefixes are one token longer here than matches asks for, so two linked documents of a bucket share at least two."""
-    tails = sets.select(F.col("doc_id").alias("id"), "prefix")
-    both = rest.select("token", "id", "n").join(tails, "id").select("token", "id", "n", F.explode("prefix").alias("second")).filter("second <> token")
-    return both.select(F.xxhash64("token", "second").alias("token"), "id", "n", F.lit(1).alias("matches"))
+    Where postings have the ordered prefixes, what these differ by up to the end of the shorter one must not be more than linked sets do."""
+    more = ["prefix"] if "prefix" in postings.columns else []
+    a = postings.select("token", F.col("id").alias("hub"), F.col("n").alias("na"), F.col("matches").alias("ma"), *(F.col(c).alias("pa") for c in more))
+    b = postings.select("token", "id", F.col("n").alias("nb"), F.col("matches").alias("mb"), *(F.col(c).alias("pb") for c in more))
+    fit = (F.col("hub") < F.col("id")) & (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
+    if more:
+        known = lambda c: F.size(F.filter(c, lambda t: t <= F.least(F.element_at("pa", -1), F.element_at("pb", -1))))
+        apart = known("pa") + known("pb") - 2 * F.size(F.array_intersect("pa", "pb"))
+        fit = fit & (apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
+    return a.join(b, "token").filter(fit).groupBy("hub", "id").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("ma", "mb")).alias("needed"))
+
+
+def _split(rest: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Postings of rest in smaller buckets, in which all that can be linked still meets, and the written tables that they read.
+
+    With k tokens more than matches asks for in prefixes, the linked documents of a bucket share k besides its own, so they meet again in a bucket of
+    its tokens and one more. A bucket is split where that takes fewer postings and pairs than it has pairs; sets of tokens
+    that several lead to are one bucket. Linked sets that differ share num / (den - num) shingles or more, and no bucket has more tokens than that."""
+    depth = min(DEPTH, -(-num // (den - num)) - 1) if num < den else DEPTH
+    tails = sets.select(F.col("doc_id").alias("id"), "prefix", "length")
+    level, listed, held = rest.select("token", F.array("token").alias("tokens"), "id", "n"), [], []
+    for k in range(1, depth + 1):
+        tail = F.array_except(F.slice("prefix", F.lit(1), F.col("length") + k), "tokens")
+        both = level.join(tails, "id").select("token", "tokens", "id", "n", tail.alias("tail"))
+        sizes = both.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("tail")).alias("postings"))
+        large = sizes.filter(f"docs > {SMALL} and 2 * postings < docs * (docs - 1)").select("token", "docs")
+        finer = both.join(large, "token").select(F.col("token").alias("parent"), "docs", "tokens", "id", "n", F.explode("tail").alias("next"))
+        finer = finer.withColumn("tokens", F.array_sort(F.concat("tokens", F.array("next"))))
+        finer = common.materialise(finer.select("parent", "docs", F.xxhash64("tokens").alias("token"), "tokens", "id", "n"), "finer")
+        parts = common.materialise(finer.groupBy("parent", "docs", "token").agg(F.count(F.lit(1)).alias("part")), "parts", light=True)
+        ways = parts.groupBy("token").agg(F.count(F.lit(1)).alias("ways"))
+        cost = F.sum(F.col("part") + F.col("part") * (F.col("part") - 1) / (2 * F.col("ways")))
+        fewer = parts.join(ways, "token").groupBy("parent", "docs").agg(cost.alias("cost")).filter("2 * cost < docs * (docs - 1)")
+        fewer = common.materialise(fewer.select(F.col("parent").alias("token")), "fewer", light=True)
+        held += [finer, parts, fewer]
+        if fewer.isEmpty():
+            break
+        listed.append(level.join(fewer, "token", "left_anti"))
+        chosen = finer.join(fewer.select(F.col("token").alias("parent")), "parent", "left_semi")
+        level = common.materialise(chosen.select("token", "tokens", "id", "n").distinct(), "level")
+        held.append(level)
+    out = _union([x.select("token", "id", "n") for x in [*listed, level]])
+    return out.join(tails.select("id", "prefix"), "id").select("token", "id", "n", F.lit(1).alias("matches"), "prefix"), held
 
 
 def _by_difference(compared: DataFrame, stars: DataFrame, num: int, den: int) -> DataFrame:
@@ -253,7 +285,7 @@ def _components_of(docs: DataFrame, width: int, num: int, den: int) -> DataFrame
     met = common.materialise(met, "buckets")
     plain = ["token", "id", "n", "matches"]
     small = common.materialise(_direct(met.filter(f"docs <= {SMALL}").select(*plain), num, den), "direct", light=True)
-    best = small.groupBy("id").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub")).select("hub", "id")
+    best = small.filter("shared >= needed").groupBy("id").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub")).select("hub", "id")
     rest, tables, far, held = met.filter(f"docs > {SMALL}"), [], [], []
     limit, many = NEAR + 1 - num / den, rest.count()
     for k in range(ROUNDS):
@@ -281,24 +313,22 @@ def _components_of(docs: DataFrame, width: int, num: int, den: int) -> DataFrame
 
     compared = _union(tables)
     stars = components(compared.filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    # A pair's shared shingles may lie in small buckets and in ones that became so: its count is over both.
+    # A pair's shared shingles may lie in small buckets and in ones that became so: its count is over both, each listed once.
     counted = small
     if not all(f.isEmpty() for f in far):
-        counted = common.materialise(_direct(_union([met.filter(f"docs <= {SMALL}").select(*plain), *far]), num, den), "counted", light=True)
-    asked = [counted.select("hub", "id"), common.materialise(_by_difference(compared, stars, num, den), "differing", light=True)]
+        both = small.union(_direct(_union(far), num, den))
+        counted = both.groupBy("hub", "id").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed"))
+    asked = [counted.filter("shared >= needed").select("hub", "id"), common.materialise(_by_difference(compared, stars, num, den), "differing", light=True)]
     if not rest.isEmpty():
-        finer = common.materialise(_refined(rest, sets), "finer")
-        held.append(finer)
-        cost = finer.groupBy("token").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
-        coarse = rest.agg(F.sum("docs")).first()[0]
-        cheaper = finer if cost < coarse else rest.select("token", "id", "n", F.lit(1).alias("matches"))
-        asked.append(common.materialise(_direct(cheaper, num, den).select("hub", "id"), "refined", light=True))
+        finer, written = _split(rest, sets, num, den)
+        held += written
+        asked.append(common.materialise(_direct(finer, num, den).select("hub", "id"), "split", light=True))
     mine, other = stars.select(F.col("id").alias("hub"), F.col("component_id").alias("ca")), stars.select("id", F.col("component_id").alias("cb"))
     n_stars = stars.count()
     ask = _union(asked).join(_small(mine, n_stars), "hub", "left").join(_small(other, n_stars), "id", "left").filter("coalesce(ca, hub) <> coalesce(cb, id)").select("hub", "id")
     last = compare(ask, docs, classes, width, num, den, False)
     found = components(_union([stars.select(F.col("component_id").alias("a"), F.col("id").alias("b")), last.filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))]))
-    common.discard(met, small, counted, *held, *tables, *asked, stars, last)
+    common.discard(met, small, *held, *tables, *asked, stars, last)
     classes.destroy()
     out = table.join(copies, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("id"))
     out = out.join(_small(found, found.count()), "id", "left")

@@ -138,3 +138,32 @@ def test_buckets_that_leaders_do_not_empty(spark, width, num, den):
             texts.append(near)
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     assert run(spark, rows, width, num, den) == brute(rows, width, num, den)
+
+
+def test_low_thresholds_in_buckets_that_stay_large(spark):
+    """A set of one shingle shares no second one with what it is linked to."""
+    texts = ["z", "a z", "a", *(f"a b{i}" for i in range(12)), *(f"z y{i}" for i in range(30))]
+    rows = list(enumerate(texts))
+    assert run(spark, rows, 1, 5, 10) == brute(rows, 1, 5, 10)
+
+
+def test_pairs_do_not_grow_with_the_square_of_a_bucket(spark, monkeypatch):
+    """Buckets that leaders don't empty: what is listed of them grows with the documents."""
+    from pyspark.sql import functions as F
+
+    listed, direct = [], jaccard._direct
+
+    def recorded(postings, num, den):
+        out = direct(postings, num, den)
+        listed.append(out.agg(F.sum("shared")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "_direct", recorded)
+    for size in (120, 480):
+        rng = np.random.default_rng(1)
+        texts = [[f"w{k}" for k in rng.choice(200, 40, replace=False)] for _ in range(size)]
+        texts += [[*t[:-1], "v"] for t in texts[::10]]
+        rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+        listed.clear()
+        assert run(spark, rows, 1, 9, 10) == brute(rows, 1, 9, 10)
+        assert sum(listed) <= 5 * len(rows)
